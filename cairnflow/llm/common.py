@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnflow.durable import shared_dir, small, stash
+
+__all__ = ["held_out", "read", "scan_texts", "shared_dir", "small", "stash"]
+
 #: Rows of an Arrow batch. Texts can be long, so batches stay small.
 BATCH_ROWS = 1000
 
@@ -19,22 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a local one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "cairnflow-shared")
-    return at
-
-
-def stash(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairnflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def scan_texts(
     df: DataFrame, schema: str, fn: Callable[[Iterator[dict]], Iterator[dict]], batch_rows: int = BATCH_ROWS
 ) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import exact_dedup, license_scan, secret_scan, source_mixing
+from cairnflow.llm import exact_dedup, license_scan, near_dedup, quality, secret_scan, source_mixing, toxicity
 
 QUERIES = {
     "op1_source_mixing": source_mixing.op1_source_mixing,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_license_scan": license_scan.op6_license_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 ORACLE = {"op4_exact_dedup": exact_dedup.OP4_SQL}
