@@ -1,11 +1,12 @@
 """Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A text is the weighted set of its shingles of five words (all its words, where it has fewer), weighted by term frequency times
-ln(1 + documents / document frequency). Document frequencies are counted over all documents in a table of 2^20 hash buckets: its
+ln(1 + documents / document frequency), which stops growing below COMMON of the documents. Document frequencies are counted over all documents in a table of 2^20 hash buckets: its
 size doesn't depend on the corpus, and as both its noise and the documents grow in proportion, weights mean the same at any size.
 Improved consistent weighted sampling draws SAMPLES (shingle, level) pairs for each text; two texts draw the same pair with a
-probability that is their weighted Jaccard similarity. ROWS pairs make a band, and texts that share a band are compared: exact
-weighted Jaccard of 0.8 or more is a link, and a class is a connected component of links.
+probability that is their weighted Jaccard similarity. ROWS pairs make a band, and texts that share a band are compared: a weighted
+Jaccard similarity of 0.8 or more is a link, and so is a plain one (a large group of near copies makes its own shingles common, so
+that the few that its members don't share would outweigh them). A class is a connected component of links.
 
 Equal texts are one node. In a band bucket of up to PAIRED texts all pairs are candidates. In a larger one all texts are compared
 with one pivot; what then still lies in different classes goes to the next pivot, and after PIVOTS pivots all pairs that still lie in
@@ -33,6 +34,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 DF_BITS, DF_CHUNKS = 20, 64
+#: Share of the documents up to which a shingle counts as rare.
+COMMON = 0.05
 PAIRED, PIVOTS = 6, 4
 #: Nodes are joined to their texts by broadcast up to this many of them (some 50 bytes each).
 BROADCAST_ROWS = 500_000
@@ -100,6 +103,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return table.ravel(), n
 
 
+def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p(np.minimum(n / np.maximum(df, 1), 1 / COMMON)).astype(np.float32)
+
+
 def weights_of(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, tf = shingles(text)
     return s, tf * idf[buckets(s)]
@@ -166,13 +173,14 @@ def digest_of(text: F.Column) -> F.Column:
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The larger of the weighted and the plain Jaccard similarity of two weighted sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = np.minimum(a[1][i], b[1][j]).sum()
-    return float(low / (a[1].sum() + b[1].sum() - low))
+    return float(max(low / (a[1].sum() + b[1].sum() - low), len(i) / (len(a[0]) + len(b[0]) - len(i))))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is ``threshold`` or more."""
+    """The pairs (a, b) whose similarity is ``threshold`` or more."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         last: tuple = (None, None)
@@ -225,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, class_id (smallest id of its class), class_size, n_links (links of its text to different
     texts that were verified) and kept (one document of each class, that of the smallest id)."""
     df, n = document_frequencies(docs, text_col)
-    idf = np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+    idf = inverse_frequencies(df, n)
     rows = stash(signatures(docs, idf, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = rows.groupBy("digest").agg(F.min(F.struct("row", "doc_id", "bands")).alias("x"))
     nodes = stash(nodes.select("digest", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), F.col("x.bands").alias("bands")), "nodes")
