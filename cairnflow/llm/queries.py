@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import exact_dedup, license_scan, near_dedup, quality, secret_scan, source_mixing, toxicity
+from cairnflow.llm import exact_dedup, license_scan, near_dedup, neighbours, quality, secret_scan, source_mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_source_mixing": source_mixing.op1_source_mixing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 ORACLE = {"op4_exact_dedup": exact_dedup.OP4_SQL}
