@@ -49,3 +49,25 @@ def scan_texts(
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Rows that no classifier learns from: crc32 of the id as text divides by ``folds``. A null id is never learned from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame | None:
+    """``docs`` with y for the labelled rows to learn from, about ``max_rows`` of them at most, chosen by a hash of the id (all,
+    where there are fewer); None without any. Of several labels of one id the largest counts."""
+    y = labels.where(~held_out(F.col("doc_id")) & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("y"))
+    y = stash(y, "labels")
+    total = y.count()
+    if not total:
+        return None
+    if total > max_rows:
+        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # max_rows bounds the broadcast
+
+
+def keep_winners(docs: DataFrame, digest: Column, decisions: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` that stay. ``decisions`` (digest, win_id, stays) names the texts about which there is something to
+    decide: of these the row with win_id stays, if ``stays``; other texts stay. Of rows repeated with the same id and text one stays."""
+    rows = docs.withColumn("__digest", digest).join(small(decisions.withColumnRenamed("digest", "__digest"), most_rows), "__digest", "left")
+    single = rows.where(F.col("stays").isNull()).select(*docs.columns)
+    won = rows.where(F.col("stays") & F.col("doc_id").eqNullSafe(F.col("win_id"))).dropDuplicates(["__digest"]).select(*docs.columns)
+    return single.unionByName(won)

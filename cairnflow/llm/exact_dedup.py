@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import read, shared_dir, stash
+from cairnflow.llm.common import keep_winners, read, shared_dir, stash
 
 
 class DigestIndex:
@@ -53,6 +53,14 @@ class DigestIndex:
         return rows.join(known, "digest").withColumn("kept", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))).drop("row", "keep_row")
 
 
+def distinct_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of ``docs`` whose texts are new to ``index``, one of each text, with their own columns; they are added to the index."""
+    seen = index.add(docs.select("doc_id", "text"))
+    many = seen.groupBy("digest").agg(F.max(F.when(F.col("kept"), F.struct("doc_id"))).alias("win"), F.max("group_size").alias("n")).where((F.col("n") > 1) | F.col("win").isNull())
+    decisions = stash(many.select("digest", F.col("win.doc_id").alias("win_id"), F.col("win").isNotNull().alias("stays")), "decisions")
+    return keep_winners(docs, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), decisions)
+
+
 def fresh_index(spark: SparkSession, id_type: str = "bigint", buckets: int = 64) -> DigestIndex:
     tag = uuid.uuid4().hex
     return DigestIndex(spark, f"digests_{tag}", f"{shared_dir(spark)}/cairnflow/index-{tag}", id_type, buckets)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import read, scan_texts, small, stash
+from cairnflow.llm.common import keep_winners, read, scan_texts, small, stash
 from cairnflow.operators.components import connected_components
 
 SHINGLE = 5
@@ -256,13 +256,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labelled = nodes.join(connected_components(found, "a", "b").join(ends, "node"), "node", "left").select(
             "digest", "node", F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
         )
-    rows = stash(rows.select("row", "doc_id", "digest").join(labelled, "digest").select("row", "doc_id", "class", "n_links"), "classes")
+    rows = stash(rows.select("row", "doc_id", "digest").join(labelled, "digest").select("row", "doc_id", "digest", "class", "n_links"), "classes")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     sizes = rows.groupBy("class").agg(low.alias("low"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(sizes, "class").select(
-        "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("low.row")).alias("kept")
+        "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("low.row")).alias("kept"), "digest"
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, one of each class, with their own columns."""
+    seen = near_duplicates(docs).where(F.col("class_size") > 1)
+    many = seen.groupBy("digest").agg(F.max(F.when(F.col("kept"), F.struct("doc_id"))).alias("win"))
+    decisions = stash(many.select("digest", F.col("win.doc_id").alias("win_id"), F.col("win").isNotNull().alias("stays")), "decisions")
+    return keep_winners(docs, digest_of(F.col("text")), decisions)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("digest")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import held_out, read, scan_texts, stash
+from cairnflow.llm.common import BATCH_ROWS, held_out, labelled_sample, read, scan_texts, stash
 
 FEATURES = 256
 BANDWIDTH = 4.0
@@ -168,7 +168,11 @@ def bin_of(raw: np.ndarray) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> tuple[Kernel, np.ndarray, np.ndarray] | None:
     """Kernel, weights and calibration table from the labelled rows that aren't held out; None without such rows."""
     y = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
-    train = stash(stats.join(y, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id", "stats"), F.lit(FOLDS)).cast("int").alias("fold")), "train")
+    return fit_on(stash(stats.join(y, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id", "stats"), F.lit(FOLDS)).cast("int").alias("fold")), "train"))
+
+
+def fit_on(train: DataFrame) -> tuple[Kernel, np.ndarray, np.ndarray] | None:
+    """The same from rows of (stats, y, fold)."""
     mean, scale, n = moments(train)
     if not n:
         return None
@@ -213,6 +217,29 @@ def score(stats: DataFrame, model: tuple[Kernel, np.ndarray, np.ndarray] | None)
     return stats.mapInPandas(one, ", ".join(f"`{c}` {t}" for c, t in [*rest, ("score", "double")]))
 
 
+def good_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns. Learning takes about ``max_rows`` labelled rows at
+    most; scores are computed as rows pass, so no text is shuffled."""
+    picked = labelled_sample(docs, labels, "quality", max_rows)
+    if picked is None:
+        return docs
+    marked = picked.select(F.struct("doc_id", "y", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int").alias("fold")).alias("doc_id"), "text")
+    train = document_statistics(marked.withColumn("doc_id", F.to_json("doc_id")))
+    train = train.select("stats", F.from_json("doc_id", "y double, fold int").alias("x")).select("stats", "x.y", "x.fold")
+    model = fit_on(stash(train, "train"))
+    if model is None:
+        return docs
+    kernel, w, steps = model
+
+    @F.pandas_udf("double")
+    def quality(texts: pd.Series) -> pd.Series:
+        stats = np.array([statistics(t or "") for t in texts]).reshape(-1, N_STATS)
+        return pd.Series(steps[bin_of(kernel(stats) @ w)])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.where(quality(F.col("text")) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     stats = stash(document_statistics(docs), "stats")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import exact_dedup, license_scan, near_dedup, neighbours, quality, secret_scan, source_mixing, substring_dedup, toxicity
+from cairnflow.llm import exact_dedup, license_scan, near_dedup, neighbours, pieces, quality, secret_scan, source_mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_source_mixing": source_mixing.op1_source_mixing,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_pieces": pieces.op3_pieces,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_license_scan": license_scan.op6_license_scan,

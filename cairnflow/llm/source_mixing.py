@@ -104,7 +104,7 @@ def round_rates(rows: DataFrame, schema: str, cap: float = CAP) -> DataFrame:
                 k = min(k, int(cap))
                 copies[i] = k
                 owed -= n * k
-        return block.assign(copies=copies).drop(columns=["rate", "tie", "block", "block_source"])
+        return block.assign(copies=copies).drop(columns=["rate", "block", "block_source"])
 
     return rows.groupBy("block_source", "block").applyInPandas(one, schema)
 
@@ -122,12 +122,12 @@ def mix(
     rate = F.when(F.col("words") == 0, 0.0).when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(700.0)))))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK))
     rated = sized.alias("d").join(dual.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source"))).select(
-        "doc_id", "d.source", "size", F.col("words").alias("source_size"), "target", rate.alias("rate"), "tie",
+        "doc_id", "d.source", "size", F.col("words").alias("source_size"), "target", "tie", rate.alias("rate"),
         F.coalesce(F.col("d.source"), F.lit("")).alias("block_source"),
         (F.pmod(F.xxhash64("doc_id", "tie"), blocks) * 2 + F.col("d.source").isNull().cast("int")).alias("block"),
     )
     kind = dict(docs.dtypes)[id_col]
-    out = round_rates(rated, f"doc_id {kind}, source string, size bigint, source_size bigint, target double, copies bigint", cap)
+    out = round_rates(rated, f"doc_id {kind}, source string, size bigint, source_size bigint, target double, tie bigint, copies bigint", cap)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -136,6 +136,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns. Documents of no copies go."""
-    ids = mix(docs, **how).where(F.col("copies") > 0).select("doc_id", "copies")
-    return docs.join(ids, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
+    """The documents of the mix, each as often as it is taken, with their own columns. Documents of no copies go; the copies of
+    rows repeated with the same id and text are counted together."""
+    taken = mix(docs, **how).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where(F.col("copies") > 0)
+    taken = stash(taken.withColumnRenamed("doc_id", "__id").withColumnRenamed("tie", "__tie"), "taken")
+    rows = docs.withColumn("__text", F.xxhash64("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tie")))
+    out = rows
+    if taken.where(F.col("rows") > 1).limit(1).count():
+        out = rows.where(F.col("rows") == 1).unionByName(rows.where(F.col("rows") > 1).dropDuplicates(["__id", "__tie"]))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import held_out, read, scan_texts, stash
+from cairnflow.llm.common import held_out, labelled_sample, read, scan_texts
 
 BITS = 20
 #: Bound of the rows that are learned from.
@@ -93,14 +93,9 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
     """(coordinates, weights) that aren't zero; None without labelled rows."""
-    y = labels.where(~held_out(F.col("doc_id")) & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("y"))
-    y = stash(y, "labels")
-    total = y.count()
-    if not total:
+    picked = labelled_sample(docs, labels, label_col, max_rows)
+    if picked is None:
         return None
-    if total > max_rows:
-        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    picked = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # max_rows bounds the broadcast
 
     def grams(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
