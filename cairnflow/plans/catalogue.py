@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from cairnflow.plans import q_flow, q_graph, q_risk  # noqa: F401
+from cairnflow.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
