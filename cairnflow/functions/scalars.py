@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from cairnflow.config import RiskConfig
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once. Without it, an expression that names a costly column several times repeats that
+    column's whole expression wherever filters are pushed down."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def ip_to_int(ip: Column) -> Column:
     """Number of a dotted IPv4 address of exactly four parts from 0 to 255; -1 for anything else."""
     parts = F.split(F.coalesce(ip, F.lit("")), r"\.")
@@ -77,19 +83,18 @@ def noisy_or(*parts: Column) -> Column:
 
 
 def tier(score: Column, c: RiskConfig = RiskConfig()) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for name, least in c.tiers:
-        out = out.when(score >= least, name)
-    return out.otherwise(c.lowest)
+    out = F.lit(c.lowest)
+    for name, least in reversed(c.tiers):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
 
 
 def tier_rank(name: Column, c: RiskConfig = RiskConfig()) -> Column:
     """0 for the lowest tier, growing with severity."""
-    names = [n for n, _ in c.tiers][::-1]
-    out = F.when(F.lit(False), F.lit(0))
-    for i, n in enumerate(names):
-        out = out.when(name == n, i + 1)
-    return out.otherwise(0)
+    out = F.lit(0)
+    for i, (n, _) in enumerate(reversed(c.tiers)):
+        out = F.when(name == n, i + 1).otherwise(out)
+    return out
 
 
 def seed_boost(score: Column, risk: Column, weight: float = RiskConfig().seed_weight) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.config import GraphConfig, RiskConfig
-from cairnflow.functions.scalars import seed_boost, tier, tier_rank
+from cairnflow.functions.scalars import bind, seed_boost, tier, tier_rank
 
 C = RiskConfig()
 SIGNALS = ("ml", "anomaly", "graph", "correlation", "known")
@@ -20,7 +20,7 @@ def weighted_mean(c: RiskConfig = C, custom: Column | None = None) -> Column:
         values = F.filter(F.map_values(custom), lambda v: v.isNotNull())
         total = total + F.coalesce(F.aggregate(values, F.lit(0.0), lambda s, v: s + c.custom_weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))), F.lit(0.0))
         weight = weight + F.coalesce(F.size(values), F.lit(0)) * c.custom_weight
-    return F.when(weight > 0, total / weight).otherwise(0.0)
+    return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
 def corroborated() -> Column:
@@ -44,15 +44,14 @@ def score_column(policy: str = "weighted", c: RiskConfig = C, custom: Column | N
     else:
         raw = weighted_mean(c, custom) * 100
         if policy == "weighted":
-            raw = F.when(corroborated(), F.least(F.lit(100.0), raw * c.boost)).otherwise(raw)
-            raw = F.when(lone_anomaly(), F.least(raw, F.lit(c.lone_anomaly_cap))).otherwise(raw)
+            raw = bind(raw, lambda x: F.when(corroborated(), F.least(F.lit(100.0), x * c.boost)).when(lone_anomaly(), F.least(x, F.lit(c.lone_anomaly_cap))).otherwise(x))
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)
 
 
 def fuse(rows: DataFrame, policy: str = "weighted", c: RiskConfig = C) -> DataFrame:
     """``rows`` with score, tier, and is_synthetic (a correlation signal takes part)."""
     out = rows.withColumn("score", score_column(policy, c))
-    return out.withColumn("tier", tier(F.col("score"), c)).withColumn("is_synthetic", F.col("correlation").isNotNull())
+    return out.withColumn("tier", bind(F.col("score"), lambda x: tier(x, c))).withColumn("is_synthetic", F.col("correlation").isNotNull())
 
 
 def boosted(rows: DataFrame, c: RiskConfig = C) -> DataFrame:

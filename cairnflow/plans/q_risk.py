@@ -68,9 +68,9 @@ def k06(spark, d):
     return P.signals(spark, d).select("entity", risk.score_column("plain", custom=custom).alias("score"))
 
 
-@query("k07_seed_boost", "WITH " + SCORED + " SELECT entity, CASE WHEN entity % 97 = 0 THEN score ELSE round(score + (100 - score) * 0.5 * ((entity % 4) / 4.0), 2) END AS score, score AS score_base FROM scored")
+@query("k07_seed_boost", "WITH " + SCORED + " SELECT entity, CASE WHEN entity % 97 = 0 THEN score ELSE round(score + (100 - score) * 0.5 * ((entity % 7) / 7.3), 2) END AS score, score AS score_base FROM scored")
 def k07(spark, d):
-    rows = scored(spark, d).withColumns({"seed_risk": F.col("entity") % 4 / 4.0, "is_seed": F.col("entity") % 97 == 0})
+    rows = scored(spark, d).withColumns({"seed_risk": F.col("entity") % 7 / 7.3, "is_seed": F.col("entity") % 97 == 0})
     return risk.boosted(rows).select("entity", "score", "score_base")
 
 
