@@ -220,3 +220,11 @@ def peer_groups(rows: DataFrame, key: str, columns: list[str], k: int = 8, clip:
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
     model = KMeans(k=k, seed=seed, maxIter=20).fit(scaled)
     return model.transform(scaled).select(key, F.col("prediction").alias("peer_group"))
+
+
+def rule_score(*flags: Column) -> Column:
+    """Share of the flags that hold."""
+    out = F.lit(0)
+    for f in flags:
+        out = out + F.coalesce(f, F.lit(False)).cast("int")
+    return out / len(flags)
