@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.config import HeuristicConfig
+from cairnflow.durable import stash
 
 
 def units(c: HeuristicConfig):
@@ -76,7 +77,7 @@ def successors(links: DataFrame, tx: DataFrame, life: DataFrame, gap_s: int | No
 def peel_links(tx: DataFrame, life: DataFrame, pool: DataFrame, changes: DataFrame, c: HeuristicConfig) -> DataFrame:
     """(tx_idx, next) between valid peel transactions."""
     found = changes.where(F.col("change_addr").isNotNull()).select("tx_idx", F.col("change_addr").alias("addr"))
-    nxt = successors(found, tx, life, c.peel_gap_s)
+    nxt = stash(successors(found, tx, life, c.peel_gap_s), "successors")
     reached = nxt.select(F.col("next").alias("tx_idx")).distinct().withColumn("reached", F.lit(True))
     rows = tx.join(pool.select("tx_idx", "is_pool"), "tx_idx").join(found.select("tx_idx", F.lit(True).alias("has")), "tx_idx", "left").join(reached, "tx_idx", "left")
     valid = rows.where((F.col("has").isNotNull() | (F.col("reached").isNotNull() & (F.col("n_out") == 2))) & (F.col("n_in") <= c.peel_max_inputs) & ~F.col("is_pool")).select("tx_idx")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnflow.durable import stash
 from cairnflow.functions import scalars as S
 from cairnflow.operators import chains, components, entities, flatten, heuristics, ingest
 from cairnflow.plans import projections as P
@@ -69,6 +70,12 @@ class Book:
     def changes(self):
         return heuristics.change(self.tx, self.outputs, self.life, self.pool, self.c)
 
+    def written(self) -> Book:
+        """This book with its relations written once, for plans that meet them several times."""
+        for name in ("tx", "inputs", "outputs", "pool"):
+            setattr(self, name, stash(getattr(self, name), name))
+        return self
+
     @property
     def member(self):
         return self.inputs.select("addr").union(self.outputs.select("addr")).distinct().withColumn("entity", F.col("addr") % 500)
@@ -236,8 +243,9 @@ def h05(spark, d):
 
 @query("h06_peel_links", W + LIFE + CHANGE + PEEL + " SELECT * FROM peel")
 def h06(spark, d):
-    b = Book(spark, d)
-    return heuristics.peel_links(b.tx, b.life, b.pool, b.changes, b.c)
+    b = Book(spark, d).written()
+    life = stash(b.life, "life")
+    return heuristics.peel_links(b.tx, life, b.pool, stash(heuristics.change(b.tx, b.outputs, life, b.pool, b.c), "changes"), b.c)
 
 
 @query("h08_chains", (W + LIFE).replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -261,8 +269,10 @@ def h10(spark, d):
 
 @query("h11_layering", (W + LIFE + HOPS).replace("WITH ", "WITH RECURSIVE ", 1) + CHAIN.format(links="layer", least=2))
 def h11(spark, d):
-    b = Book(spark, d)
-    return chains.follow(heuristics.layer_links(h10(spark, d), b.tx, b.outputs, b.life), P.PRICES.layer_min_length)
+    b = Book(spark, d).written()
+    life = stash(b.life, "life")
+    hops = stash(heuristics.rapid_hops(b.tx, b.inputs, life, b.pool, b.c), "hops")
+    return chains.follow(heuristics.layer_links(hops, b.tx, b.outputs, life), P.PRICES.layer_min_length)
 
 
 FANS = """,
