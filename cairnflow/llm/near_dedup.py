@@ -8,9 +8,9 @@ probability that is their weighted Jaccard similarity. ROWS pairs make a band, a
 Jaccard similarity of 0.8 or more is a link, and so is a plain one (a large group of near copies makes its own shingles common, so
 that the few that its members don't share would outweigh them). A class is a connected component of links.
 
-Equal texts are one node. In a band bucket of up to PAIRED texts all pairs are candidates. In a larger one all texts are compared
-with one pivot; what then still lies in different classes goes to the next pivot, and after PIVOTS pivots all pairs that still lie in
-different classes are compared. So no candidate is left out, yet a group of thousands of copies costs a few comparisons each.
+Equal texts are one node. In a band bucket of up to PAIRED texts all pairs are compared. In a larger one all texts are compared with
+one pivot; then those that still lie outside the pivot's class are compared, in blocks, with those inside and with each other. So no
+candidate is left out, yet no list of all pairs is made, and a group of thousands of copies costs little more than a comparison each.
 
 Defined cases: null counts as empty; a text without words is only alike to texts equal to it; a null id is kept, and is not below
 any other; rows repeated with the same id and text are one class; an empty table gives an empty result; extra columns are ignored.
@@ -36,7 +36,9 @@ SAMPLES = BANDS * ROWS
 DF_BITS, DF_CHUNKS = 20, 64
 #: Share of the documents up to which a shingle counts as rare.
 COMMON = 0.05
-PAIRED, PIVOTS = 6, 4
+PAIRED = 6
+#: Texts on either side of a comparison of blocks.
+BLOCK = 256
 #: Nodes are joined to their texts by broadcast up to this many of them (some 50 bytes each).
 BROADCAST_ROWS = 500_000
 _TABLE = 16
@@ -126,6 +128,10 @@ class Sampler:
 
     def bands(self, s: np.ndarray, w: np.ndarray, block: int = 8192) -> list[int]:
         """The band keys of a weighted set."""
+        with np.errstate(over="ignore"):  # hashes wrap around
+            return self._bands(s, w, block)
+
+    def _bands(self, s: np.ndarray, w: np.ndarray, block: int) -> list[int]:
         best, key = np.full(SAMPLES, np.inf, dtype=np.float32), np.zeros(SAMPLES, dtype=np.uint64)
         every = np.arange(SAMPLES)
         for at in range(0, len(s), block):
@@ -154,14 +160,13 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_co
     """(doc_id, digest, bands) of every row; bands are empty without words."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
-        with np.errstate(over="ignore"):
-            sampler = Sampler()
-            for b in batches:
-                out = []
-                for t in b["text"]:
-                    s, w = weights_of(t or "", idf)
-                    out.append(sampler.bands(s, w) if len(s) else [])
-                yield {"doc_id": b["doc_id"], "digest": b["digest"], "bands": out}
+        sampler = Sampler()
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                s, w = weights_of(t or "", idf)
+                out.append(sampler.bands(s, w) if len(s) else [])
+            yield {"doc_id": b["doc_id"], "digest": b["digest"], "bands": out}
 
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
@@ -197,41 +202,83 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return scan_texts(both, "a bigint, b bigint, similarity double", scan, 200).where(F.col("similarity") >= threshold)
 
 
-def links(members: DataFrame, texts_of, idf: np.ndarray, threshold: float) -> DataFrame | None:
-    """All links among ``members`` (key, node): rounds of pairs that still lie in different classes, each verified once."""
-    found, rest = None, stash(members, "members")
-    for step in range(PIVOTS + 1):
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"))
-        if step:
-            sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") != F.col("high")).drop("low", "high")
-        sized = stash(rest.join(sizes.where(F.col("n") > 1), "key"), "sized")
-        if not sized.limit(1).count():
-            break
-        other = (lambda x, y: F.col(x) != F.col(y)) if step else (lambda x, y: F.lit(True))
-        few = sized.where((F.col("n") <= PAIRED) | F.lit(step == PIVOTS))
-        many = sized.where((F.col("n") > PAIRED) & F.lit(step < PIVOTS))
-        extra = ["class"] if step else []
-        l, r = (few.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in extra]) for x in "ab")
-        pairs = l.join(r, "key").where((F.col("a") < F.col("b")) & other("class_a", "class_b")).select("a", "b")
-        if step:
-            of_pivot = many.where(F.col("node") == F.col("pivot")).select("key", F.col("class").alias("pivot_class"))
-            many = many.join(of_pivot, "key").where(F.col("class") != F.col("pivot_class"))
-        pairs = pairs.unionByName(many.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
-        pairs = stash(pairs, "pairs")
-        new = stash(verify(pairs, texts_of(pairs), idf, threshold), "links")
-        found = new if found is None else found.unionByName(new)
-        left = sized.where((F.col("n") > PAIRED) & (F.col("node") != F.col("pivot"))).select("key", "node")
-        if step == PIVOTS or not left.limit(1).count():
-            break
-        classes = connected_components(found, "a", "b")
-        left = left.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
-        rest = stash(left, "left")
-    return found
+def compare_blocks(tasks: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): links between texts of different classes. ``tasks`` has rows (key, l, kind, o, left, node, class, text); in a task each
+    left text meets each right one. A text's shares with all right texts come from one pass over their shingles. Of a
+    text's links to one class the first is enough, as all lead to the same class."""
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {"a": [], "b": []}
+        left, right = f[f["left"]].drop_duplicates("node"), f[~f["left"]].drop_duplicates("node")
+        if len(left) and len(right):
+            sets = [weights_of(t, idf) for t in right["text"]]
+            every, at = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True)
+            w, starts = np.concatenate([x[1] for x in sets]), np.cumsum([0] + [len(x[0]) for x in sets])[:-1]
+            totals, sizes = np.array([x[1].sum() for x in sets]), np.array([len(x[0]) for x in sets])
+            nodes, classes = right["node"].to_numpy(), right["class"].to_numpy()
+            mine = np.zeros(len(every))
+            for node, own, text in zip(left["node"], left["class"], left["text"], strict=True):
+                s, sw = weights_of(text, idf)
+                i = np.minimum(np.searchsorted(every, s), len(every) - 1)
+                hit = every[i] == s
+                mine[i[hit]] = sw[hit]
+                low = np.add.reduceat(np.minimum(mine[at], w), starts)
+                n = np.add.reduceat((mine > 0)[at].astype(np.int64), starts)
+                mine[i[hit]] = 0
+                like = np.maximum(low / (totals + sw.sum() - low), n / (sizes + len(s) - n))
+                for c, b in dict(reversed([(classes[j], nodes[j]) for j in np.flatnonzero((like >= threshold) & (classes != own))])).items():
+                    del c
+                    out["a"].append(node)
+                    out["b"].append(b)
+        return pd.DataFrame(out, dtype=np.int64)
+
+    return tasks.groupBy("key", "l", "kind", "o").applyInPandas(one, "a bigint, b bigint")
+
+
+def block_tasks(rest: DataFrame) -> DataFrame:
+    """Rows (key, l, kind, o, left, node, class) of the tasks that compare, in each bucket, the texts outside the pivot's class with
+    those inside (kind 0) and with each other (kind 1), BLOCK texts a side. ``rest`` has (key, node, class, pivot, pivot_class)."""
+    out = F.col("class") != F.col("pivot_class")
+    sizes = rest.groupBy("key").agg(F.count_if(out).alias("n_out"), F.count_if(~out & (F.col("node") != F.col("pivot"))).alias("n_in")).where("n_out > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    rows = rest.where(F.col("node") != F.col("pivot")).join(sizes.select("key", blocks("n_out").alias("outs"), blocks("n_in").alias("ins")), "key")
+    at = F.xxhash64("node", F.lit(7))
+    upto = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("bigint")
+    rows = rows.withColumn("chunk", F.when(out, F.pmod(at, "outs")).otherwise(F.pmod(at, F.greatest("ins", F.lit(1)))))
+    task = lambda l, kind, o, left: F.struct(l.alias("l"), F.lit(kind).alias("kind"), o.alias("o"), F.lit(left).alias("left"))
+    chunk = F.col("chunk")
+    of_in = F.transform(upto(zero, F.col("outs") - 1), lambda l: task(l, 0, chunk, False))
+    of_out = F.concat(
+        F.transform(upto(zero, F.col("ins") - 1), lambda o: task(chunk, 0, o, True)),
+        F.transform(upto(chunk, F.col("outs") - 1), lambda o: task(chunk, 1, o, True)),
+        F.transform(upto(zero, chunk), lambda l: task(l, 1, chunk, False)),
+    )
+    return rows.select("key", "node", "class", F.explode(F.when(out, of_out).otherwise(of_in)).alias("t")).select("key", "t.*", "node", "class")
+
+
+def links(members: DataFrame, texts_of, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) among ``members`` (key, node) that make the same classes as all links do."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"))
+    sized = stash(members.join(sizes.where(F.col("n") > 1), "key"), "sized")
+    few, many = sized.where(F.col("n") <= PAIRED), sized.where(F.col("n") > PAIRED)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(many.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
+    pairs = stash(pairs, "pairs")
+    found = stash(verify(pairs, texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), idf, threshold).select("a", "b"), "links")
+    classes = connected_components(found, "a", "b").withColumnRenamed("component", "class")
+    rest = many.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"), "pivot")
+    of_pivot = rest.where("node = pivot").select("key", F.col("class").alias("pivot_class"))
+    tasks = stash(block_tasks(stash(rest.join(of_pivot, "key"), "rest")), "tasks")
+    if not tasks.limit(1).count():
+        return found
+    rows = tasks.join(texts_of(tasks.select("node")), "node")
+    return found.unionByName(stash(compare_blocks(rows, idf, threshold), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size, n_links (links of its text to different
-    texts that were verified) and kept (one document of each class, that of the smallest id)."""
+    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept (one document of each class, that of
+    the smallest id) and digest (MD5 of the text)."""
     df, n = document_frequencies(docs, text_col)
     idf = inverse_frequencies(df, n)
     rows = stash(signatures(docs, idf, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
@@ -241,26 +288,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
     members = keyed.join(shared, "key")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        needed = wanted.distinct()
         needed = stash(needed.join(nodes.select("node", "digest", F.col("doc_id").alias("node_doc")), "node"), "needed")
         whole = docs.select(F.col(id_col).alias("node_doc_2"), digest_of(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         got = whole.join(small(needed, BROADCAST_ROWS), "digest").where(F.col("node_doc").eqNullSafe(F.col("node_doc_2")))
         return stash(got.select("node", "text"), "texts").dropDuplicates(["node"])
 
-    found = links(members, texts_of, idf, threshold)
-    if found is None:
-        labelled = nodes.select("digest", "node", F.col("node").alias("class"), F.lit(0).cast("bigint").alias("n_links"))
-    else:
-        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        labelled = nodes.join(connected_components(found, "a", "b").join(ends, "node"), "node", "left").select(
-            "digest", "node", F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-        )
-    rows = stash(rows.select("row", "doc_id", "digest").join(labelled, "digest").select("row", "doc_id", "digest", "class", "n_links"), "classes")
+    classes = connected_components(links(members, texts_of, idf, threshold), "a", "b")
+    labelled = nodes.join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
+    rows = stash(rows.select("row", "doc_id", "digest").join(labelled, "digest").select("row", "doc_id", "digest", "class"), "classes")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     sizes = rows.groupBy("class").agg(low.alias("low"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(sizes, "class").select(
-        "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("low.row")).alias("kept"), "digest"
+        "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("low.row")).alias("kept"), "digest"
     )
 
 
