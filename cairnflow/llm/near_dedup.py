@@ -41,17 +41,18 @@ PAIRED = 6
 BLOCK = 256
 #: Nodes are joined to their texts by broadcast up to this many of them (some 50 bytes each).
 BROADCAST_ROWS = 500_000
+CACHE_WORDS = 200_000
 _TABLE = 16
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
 class Hashes(dict):
-    """64-bit hash of each word; forgotten when there are more than half a million."""
+    """64-bit hash of each word. The frequent words come early; what comes when CACHE_WORDS are kept isn't kept."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
 

@@ -37,7 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_WORDS = 600_000
+#: Words kept by a Python worker. The frequent ones come early, so what comes when it is full isn't kept.
+CACHE_WORDS = 150_000
 NONE = -float("inf")
 #: Words of more characters than this are folded with a heap.
 SHORT = 128
@@ -135,7 +136,7 @@ class PieceTable:
 
 
 class Lattice:
-    """Ids of words by their lattice, with the words seen last kept."""
+    """Ids of words by their lattice, with the first words seen kept."""
 
     def __init__(self, table: PieceTable):
         self.table, self.words, self.parts = table, {}, {}
@@ -213,9 +214,7 @@ class Lattice:
         if found is None:
             fold = self.viterbi if not self.table.bpe else self.merged if len(part) <= SHORT else self.merged_long
             found = self.spell(part, fold(part))
-            if len(part) <= SHORT:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
+            if len(part) <= SHORT and len(self.parts) < CACHE_WORDS:
                 self.parts[part] = found
         return found
 
@@ -234,14 +233,15 @@ class Lattice:
             return b""
         marked = text.replace(" ", SPACE)
         units = _UNIT.findall(SPACE + marked if self.table.prefix else marked)
-        known = self.words
-        missing = {u for u in units if u not in known}
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = set(units)
-        for u in missing:
-            known[u] = self.word(u)
-        return b"".join(map(known.__getitem__, units))
+        known, here = self.words, {}
+        for u in set(units):
+            ids = known.get(u)
+            if ids is None:
+                ids = self.word(u)
+                if len(known) < CACHE_WORDS:
+                    known[u] = ids
+            here[u] = ids
+        return b"".join(map(here.__getitem__, units))
 
 
 def spell_out(ids: list[int], table: PieceTable) -> str:
