@@ -203,13 +203,29 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return scan_texts(both, "a bigint, b bigint, similarity double", scan, 200).where(F.col("similarity") >= threshold)
 
 
+class Joined(dict):
+    """Which classes a task's links have joined: each class leads to another of its group, the first of them to itself."""
+
+    def root(self, c: int) -> int:
+        while (up := self.setdefault(c, c)) != c:
+            self[c] = c = self[up]
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        """Join two classes; False if they were."""
+        a, b = self.root(a), self.root(b)
+        self[b] = a
+        return a != b
+
+
 def compare_blocks(tasks: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """(a, b): links between texts of different classes. ``tasks`` has rows (key, l, kind, o, left, node, class, text); in a task each
-    left text meets each right one. A text's shares with all right texts come from one pass over their shingles. Of a
-    text's links to one class the first is enough, as all lead to the same class."""
+    left text meets each right one. A text's shares with all right texts come from one pass over their shingles. A link is
+    returned if it joins classes that the task's links before it don't: texts that are all alike give a link each, not one a pair."""
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         out: dict = {"a": [], "b": []}
+        joined = Joined()
         left, right = f[f["left"]].drop_duplicates("node"), f[~f["left"]].drop_duplicates("node")
         if len(left) and len(right):
             sets = [weights_of(t, idf) for t in right["text"]]
@@ -227,10 +243,10 @@ def compare_blocks(tasks: DataFrame, idf: np.ndarray, threshold: float) -> DataF
                 n = np.add.reduceat((mine > 0)[at].astype(np.int64), starts)
                 mine[i[hit]] = 0
                 like = np.maximum(low / (totals + sw.sum() - low), n / (sizes + len(s) - n))
-                for c, b in dict(reversed([(classes[j], nodes[j]) for j in np.flatnonzero((like >= threshold) & (classes != own))])).items():
-                    del c
-                    out["a"].append(node)
-                    out["b"].append(b)
+                for j in np.flatnonzero((like >= threshold) & (classes != own)):
+                    if joined.join(own, classes[j]):
+                        out["a"].append(node)
+                        out["b"].append(nodes[j])
         return pd.DataFrame(out, dtype=np.int64)
 
     return tasks.groupBy("key", "l", "kind", "o").applyInPandas(one, "a bigint, b bigint")

@@ -77,6 +77,15 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, paired, block):
     assert sum(r.kept for r in out) == len(got)
 
 
+def test_blocks_give_a_link_for_each_join(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [("k", 0, 1, 0, side, i, i, f"{text} e{i}") for i in range(30) for side in (True, False)]
+    tasks = spark.createDataFrame(rows, "key string, l long, kind int, o long, left boolean, node long, class long, text string")
+    found = near_dedup.compare_blocks(tasks, np.ones(1 << near_dedup.DF_BITS, dtype=np.float32), 0.8).collect()
+    joined = near_dedup.Joined()
+    assert len(found) == 29 and all(joined.join(r.a, r.b) for r in found)
+
+
 def test_near_empty_table(spark):
     assert near_dedup.near_duplicates(frame(spark, copies()).limit(0)).count() == 0
 
