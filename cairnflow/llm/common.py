@@ -42,6 +42,7 @@ def scan_texts(
 
         for out in fn(columns()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -47,7 +47,8 @@ _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D
 
 
 class Hashes(dict):
-    """64-bit hash of each word. The frequent words come early; what comes when CACHE_WORDS are kept isn't kept."""
+    """64-bit hash of each word, kept for a task, as Python workers live on into stages that don't need them. The frequent words
+    come early; what comes when CACHE_WORDS are kept isn't kept."""
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -89,6 +90,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             n += len(found)
             total += np.bincount(np.concatenate([np.unique(x) for x in found] or [np.zeros(0, dtype=np.int64)]), minlength=1 << DF_BITS)
         parts = total.reshape(DF_CHUNKS, width).astype(np.int32)
+        _hashes.clear()
         yield {"chunk": [*range(DF_CHUNKS), -1], "counts": [*(x.tobytes() for x in parts), np.array([n], dtype=np.int32).tobytes()]}
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,6 +170,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_co
                 s, w = weights_of(t or "", idf)
                 out.append(sampler.bands(s, w) if len(s) else [])
             yield {"doc_id": b["doc_id"], "digest": b["digest"], "bands": out}
+        _hashes.clear()
 
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
@@ -197,6 +200,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
                     last = (a, weights_of(ta, idf))
                 keep.append(jaccard(last[1], weights_of(tb, idf)))
             yield {"a": x["a"], "b": x["b"], "similarity": keep}
+        _hashes.clear()
 
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -247,6 +251,7 @@ def compare_blocks(tasks: DataFrame, idf: np.ndarray, threshold: float) -> DataF
                     if joined.join(own, classes[j]):
                         out["a"].append(node)
                         out["b"].append(nodes[j])
+        _hashes.clear()
         return pd.DataFrame(out, dtype=np.int64)
 
     return tasks.groupBy("key", "l", "kind", "o").applyInPandas(one, "a bigint, b bigint")
