@@ -27,12 +27,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A match of [0-9a-f]+ is always a maximal run, so runs of 24 and more are the matches that stay.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
+#: A private key from its header to its END line or, without one, to the last line of base64 that follows; a header alone counts too.
+#: Nothing backtracks, and a body stops at the next five dashes, so a text of headers alone takes linear time.
+PEM = re.compile(
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nrt])*+(?:[A-Za-z0-9+/=]{16,}+|(?:Proc-Type|DEK-Info):[^\n\\]*+))*+)"
+)
+#: Line ends, indents and their escapes: the same key may be laid out in many ways.
+_LAYOUT = re.compile(r"\s+|\\[nrt]")
 #: Further shapes; a span of theirs is added when its value is owner-specific.
 SHAPES = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}")),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")),
+    ("pem", PEM),
     ("mixed", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9a-z_-]*[A-Z])(?=[0-9A-Z_-]*[a-z])[A-Za-z0-9_-]{32,}")),
 )
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -61,7 +70,7 @@ def shape_spans(text: str) -> list[tuple[int, str, int, str]]:
     long = b"x" * 32 in raw.translate(_IS_TOKEN)
     for k, (kind, shape) in enumerate(SHAPES):
         if {"github": long, "mixed": long, "slack": b"xox" in raw, "jwt": b"eyJ" in raw, "pem": b"-----BEGIN" in raw}[kind]:
-            found += [(m.start(), k, m.end(), m[0]) for m in shape.finditer(text)]
+            found += [(m.start(), k, m.end(), _LAYOUT.sub("", m[0]) if shape is PEM else m[0]) for m in shape.finditer(text)]
     return [(s, SHAPES[k][0], e, v) for s, k, e, v in sorted(found)]
 
 

@@ -103,6 +103,23 @@ def test_secret_query_spans(spark, tmp_path):
     assert secret_scan.scan_secrets(docs.limit(0))[0].count() == 0
 
 
+def test_private_keys_are_owned_one_by_one(spark, tmp_path):
+    key = lambda c, lines=3: "-----BEGIN RSA PRIVATE KEY-----\n" + f"MII{c}/+{c * 58}\n" * lines + f"{c}Q==\n-----END RSA PRIVATE KEY-----"
+    a, b, known = key("A"), key("B"), key("C")
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "/D+z" * 16 + "\n"
+    rows = [(1, f"x {a} y", "s1"), (2, f"é {b}", "s2"), (3, f"{b} twice", "s2"), (4, cut + "and prose", "s3"), (5, a.replace("\n", "\\n"), "s1")]
+    rows += [(10 + i, known.replace("\n", "\r\n  ") if i else known, f"s{i}") for i in range(4)]
+    rows += [(20, "the line -----BEGIN RSA PRIVATE KEY----- alone", "s1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("pem")] for r in secret_scan.op9_secret_scan(spark, str(tmp_path)).collect()}
+    assert got[1] == [f"pem:2:{2 + len(a)}"] and got[2] == [f"pem:2:{2 + len(b)}"] and got[3] == [f"pem:0:{len(b)}"]
+    assert got[4] == [f"pem:0:{len(cut) - 1}"] and got[5] == [f"pem:0:{len(rows[4][1])}"]
+    assert all(got[10 + i] == [] for i in range(4))
+    assert got[20] == ["pem:9:40"]
+    values = {v for text in (a, a.replace("\n", "\\n"), a.replace("\n", "\r\n\t")) for _, k, _, v in secret_scan.shape_spans(text) if k == "pem"}
+    assert len(values) == 1
+
+
 def auc(y, s):
     order = np.argsort(s, kind="stable")
     rank = np.empty(len(s))
