@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is split into sentences (after . ! ? and white space, and at line ends). From every sentence a run starts: the fewest
-consecutive sentences, two at least, with RUN_WORDS words or more, or that one sentence, if it has LONG_WORDS words alone. Runs are
-hashed and met globally: of equal runs the first (smallest id, then position) stays, and every sentence that any other covers goes.
+A text is split into sentences (after . ! ? and white space, after the sentence ends of other scripts, and at line ends). From every
+sentence a run starts and at every sentence one ends: the fewest consecutive sentences, two at least, with RUN_WORDS words or more. A
+sentence of LONG_WORDS words is a run alone. With both directions, every sentence of a repeated passage of two sentences or more and
+RUN_WORDS words lies in a run inside that passage. Runs are hashed and met globally: of equal runs the first (smallest id, then
+position) stays, and every sentence that any other covers goes. Scripts without spaces count two letters as a word.
 
 Defined cases: null counts as empty; texts without a run lose nothing; null ids come last; rows repeated with the same id and text
 count as separate documents, of which one stays whole; a run repeated within one text is a repeat as well; an empty table gives
@@ -20,35 +22,59 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm.common import read, scan_texts, stash
 
-RUN_WORDS = 20
-LONG_WORDS = 40
+RUN_WORDS = 12
+LONG_WORDS = 20
 _SENTENCE = re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+_OTHER_END = re.compile("[。｡！？।॥؟۔።။។]")
+#: As _SENTENCE, for texts with an end that needs no white space after it.
+_OTHER_SENTENCE = re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|[。｡！？।॥؟۔።။។]+[」』）”’]*|(?=\n)|\Z)")
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+_NO_SPACES = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence, without white space at either side."""
-    return [m.span() for m in _SENTENCE.finditer(text)]
+    other = not text.isascii() and _OTHER_END.search(text)
+    return [m.span() for m in (_OTHER_SENTENCE if other else _SENTENCE).finditer(text)]
+
+
+def lengths(text: str, parts: list[str]) -> list[int]:
+    """Words of each sentence."""
+    if text.isascii() or not _NO_SPACES.search(text):
+        return [len(p.split()) for p in parts]
+    return [len(p.split()) + len(_NO_SPACES.findall(p)) // 2 for p in parts]
 
 
 def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """The sentences, and (first sentence, how many, hash) of each run."""
     at = sentences(text)
     parts = [text[a:b] for a, b in at]
-    words = [len(p.split()) for p in parts]
-    found, j, total = [], 0, 0
-    for i in range(len(at)):
-        if words[i] >= LONG_WORDS:
-            found.append((i, 1, xxhash.xxh3_64_intdigest(parts[i].encode("utf-8", "surrogatepass")) - (1 << 63)))
-        else:
-            while j < len(at) and (j < i + 2 or total < RUN_WORDS):
-                total += words[j]
-                j += 1
-            if j >= i + 2 and total >= RUN_WORDS:
-                found.append((i, j - i, xxhash.xxh3_64_intdigest("\n".join(parts[i:j]).encode("utf-8", "surrogatepass")) - (1 << 63)))
-        if j > i:
-            total -= words[i]
-        else:
-            j = i + 1
+    words = lengths(text, parts)
+    upto, short = [0], [0]
+    for w in words:
+        upto.append(upto[-1] + w)
+        short.append(short[-1] + (w < LONG_WORDS))
+    picked = {(i, i + 1) for i, w in enumerate(words) if w >= LONG_WORDS}
+    j = 0
+    for i in range(len(at) - 1):
+        j = max(j, i + 2)
+        while j <= len(at) and upto[j] - upto[i] < RUN_WORDS:
+            j += 1
+        if j > len(at):
+            break
+        picked.add((i, j))
+    i = len(at)
+    for j in range(len(at), 1, -1):
+        i = min(i, j - 2)
+        while i >= 0 and upto[j] - upto[i] < RUN_WORDS:
+            i -= 1
+        if i < 0:
+            break
+        picked.add((i, j))
+    found = []
+    for i, j in sorted(picked):
+        if j == i + 1 or short[j] > short[i]:  # a run of long sentences alone says no more than they do
+            found.append((i, j - i, xxhash.xxh3_64_intdigest("\n".join(parts[i:j]).encode("utf-8", "surrogatepass")) - (1 << 63)))
     return at, found
 
 

@@ -233,6 +233,35 @@ def test_repeated_sentences_equal_brute_force(spark):
     assert substring_dedup.repeated_spans(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_short_runs_tails_and_other_scripts_are_repeats(spark):
+    pair = "Seven words stand in this first sentence. Then eight more words follow in the next."
+    lone = "One single sentence " + " ".join(f"w{k}" for k in range(22)) + "."
+    long = " ".join(f"Word{k} " + " ".join(f"x{k}y{n}" for n in range(10)) + "." for k in range(5)) + " A short tail."
+    han = "这是第一个句子它有很多汉字在里面。第二个句子也有许多汉字写在这里面！"
+    rows, n = [], 0
+    for passage in (pair, lone, long, han):
+        for _ in range(2):
+            rows.append((n, f"Own{n} start{n} here{n}. {passage} Own{n} end{n} there{n} word{n}.", "s"))
+            n += 1
+    texts, cut = {i: t for i, t, _ in rows}, defaultdict(list)
+    for r in substring_dedup.repeated_spans(frame(spark, rows)).collect():
+        cut[r.doc_id].append(texts[r.doc_id][r.start : r.end])
+    assert cut == {1: [pair], 3: [lone], 5: [long], 7: [han]}
+
+
+def test_every_sentence_of_a_repeated_passage_is_in_a_run_inside_it():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = [" ".join(words(rng, rng.randint(1, 24), 3000)).capitalize() + "." for _ in range(rng.randint(2, 9))]
+        before, after = (" ".join(words(rng, 9, 3000)) + ".\n" for _ in range(2))
+        _, inside = substring_dedup.runs(" ".join(parts))
+        _, within = substring_dedup.runs(before + " ".join(parts) + "\n" + after)
+        assert {h for _, _, h in inside} <= {h for _, _, h in within}
+        covered = {k for p, n, _ in inside for k in range(p, p + n)}
+        if sum(len(p.split()) for p in parts) >= substring_dedup.RUN_WORDS:
+            assert covered == set(range(len(parts)))
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16))
