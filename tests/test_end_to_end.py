@@ -117,3 +117,13 @@ def test_queries_equal_sql(spark, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("kind", ["s01_csv", "s02_json_lines", "s04_xml"])
+def test_registered_round_trips_hold_every_transaction(spark, sf, kind):
+    from cairnflow.plans import projections as P
+
+    want = {(r.tx_idx, ",".join(map(str, r.a)), r.n) for r in P.payments(spark, sf).outputs.groupBy("tx_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "addr"))), lambda x: x["addr"]).alias("a"), F.count(F.lit(1)).alias("n")).collect()}
+    got = [tuple(r) for r in catalogue.QUERIES[f"{kind}_round_trip_whole"](spark, sf).collect()]
+    assert len(want) > 300 and len(got) == len(want) and set(got) == want
+    assert catalogue.QUERIES[f"{kind}_round_trip"](spark, sf).count() == 300
