@@ -10,7 +10,7 @@ from cairnflow.functions import scalars as S
 from cairnflow.operators import correlation, graph, heuristics, ingest
 from cairnflow.plans import projections as P
 from cairnflow.plans.q_flow import LIFE, MEMBER, Book, W, r
-from cairnflow.plans.registry import query
+from cairnflow.plans.registry import ORACLE, query
 
 #: Nation-to-nation trade: customers' nations pay suppliers' nations; a small graph with a wide range of weights.
 TRADE = """trade AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_extendedprice AS amount, CAST(epoch(o_orderdate) AS BIGINT) AS ts, l_orderkey * 10 + l_linenumber AS tx_idx
@@ -22,8 +22,9 @@ ADJ = """, pr AS (SELECT src, dst, 1 + ln(1 + sum(amount)) AS w FROM {flow} WHER
  walk AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM adj)"""
 
 
-def trade(spark, d):
-    lines = P.table(spark, d, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+def trade(spark, d, whole=False):
+    lines = P.table(spark, d, "lineitem")
+    lines = (lines if whole else lines.where("l_quantity >= 45")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     orders = P.table(spark, d, "orders").select("o_orderkey", "o_custkey", P.seconds("o_orderdate").alias("ts"))
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(P.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(P.table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -303,3 +304,63 @@ def j18(spark, d):
 def f01(spark, d):
     n = P.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 4294967296).alias("n"))
     return n.select("o_orderkey", S.ip_to_int(S.int_to_ip(F.col("n"))).alias("ip"))
+
+
+#: What thins the trade graph in the SQL above.
+THINNED = (" WHERE l_quantity >= 45", " WHERE src < 20", " AND (src + dst) % 3 <> 0", "(src * 3 + dst) % 4 = 0 AND ", " WHERE (src * dst) % 4 <> 0")
+
+
+def _whole_sql(name):
+    sql = ORACLE[name]
+    for cut in THINNED:
+        sql = sql.replace(cut, "")
+    return sql
+
+
+# The queries on trade() once more, on every trade row and without the filters on edges.
+
+
+@query("g02_walk_whole", _whole_sql("g02_walk"))
+def g02_whole(spark, d):
+    return r(graph.normalised(graph.adjacency(trade(spark, d, whole=True))), 8, "p")
+
+
+@query("g10_edges_whole", _whole_sql("g10_edges"))
+def g10_whole(spark, d):
+    return r(graph.aggregated_edges(trade(spark, d, whole=True)), 2, "amount")
+
+
+@query("g12_trail_whole", _whole_sql("g12_trail"))
+def g12_whole(spark, d):
+    return graph.money_trail(trade(spark, d, whole=True), 5)
+
+
+@query("g20_pagerank_whole", _whole_sql("g20_pagerank"))
+def g20_whole(spark, d):
+    return r(graph.pagerank(trade(spark, d, whole=True), steps=8, tolerance=0.0), 9, "rank")
+
+
+@query("g21_betweenness_whole")
+def g21_whole(spark, d):
+    return graph.betweenness(trade(spark, d, whole=True))
+
+
+@query("g22_clustering_whole", _whole_sql("g22_clustering"))
+def g22_whole(spark, d):
+    return r(graph.clustering(trade(spark, d, whole=True)), 8, "coefficient")
+
+
+@query("g23_hits_whole")
+def g23_whole(spark, d):
+    return r(graph.hits(trade(spark, d, whole=True)), 9, "hub", "authority")
+
+
+@query("g26_simple_paths_whole", _whole_sql("g26_simple_paths"))
+def g26_whole(spark, d):
+    e = stash(trade(spark, d, whole=True).where("src <> dst").select("src", "dst").distinct(), "dense")
+    return graph.simple_paths(e, 0, 8, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
+@query("g30_common_whole", _whole_sql("g30_common"))
+def g30_whole(spark, d):
+    return graph.common_neighbours(trade(spark, d, whole=True), 1, 7)

@@ -127,3 +127,11 @@ def test_registered_round_trips_hold_every_transaction(spark, sf, kind):
     got = [tuple(r) for r in catalogue.QUERIES[f"{kind}_round_trip_whole"](spark, sf).collect()]
     assert len(want) > 300 and len(got) == len(want) and set(got) == want
     assert catalogue.QUERIES[f"{kind}_round_trip"](spark, sf).count() == 300
+
+
+def test_whole_trade_queries_use_every_line(spark, sf):
+    assert catalogue.QUERIES["g10_edges_whole"](spark, sf).agg(F.sum("n_tx")).first()[0] == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for name in ("g02_walk", "g12_trail", "g20_pagerank", "g22_clustering", "g26_simple_paths", "g30_common"):
+        assert "% 3" not in catalogue.ORACLE[f"{name}_whole"] and "% 4" not in catalogue.ORACLE[f"{name}_whole"] and "src < 20" not in catalogue.ORACLE[f"{name}_whole"]
+        assert "l_quantity >=" not in catalogue.ORACLE[f"{name}_whole"]
+    assert {r.node for r in catalogue.QUERIES["g20_pagerank_whole"](spark, sf).collect()} == set(range(25))
