@@ -1,18 +1,19 @@
 """Ranking and classification metrics of (y, score) rows.
 
-Rows of one score are counted together first, so the ordered tables hold distinct scores, not rows."""
+Rows of one score are counted together first, so the ordered tables hold distinct scores, not rows; they are summed up by range."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnflow.operators.ordered import running
+
 
 def curve(rows: DataFrame) -> DataFrame:
     """(score, tp, fp) at each distinct cut-off, largest first."""
     steps = rows.groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    return running(steps, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
 
 
 def ap_auc(rows: DataFrame) -> DataFrame:
@@ -55,10 +56,9 @@ def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def percentile_rank(rows: DataFrame, score: str = "score") -> DataFrame:
     """``rows`` with the share of rows whose score isn't larger."""
     steps = rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = steps.select(score, (F.sum("n").over(w) / F.sum("n").over(total)).alias("percentile"))
-    return rows.join(at, score)
+    upto = running(steps, [F.asc(score)], {"upto": F.col("n")})
+    total = upto.agg(F.max("upto").alias("total"))  # one row
+    return rows.join(upto.join(F.broadcast(total)).select(score, (F.col("upto") / F.col("total")).alias("percentile")), score)
 
 
 def bootstrap_precision(rows: DataFrame, replicates: int = 100) -> DataFrame:

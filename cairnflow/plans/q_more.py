@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cairnflow.durable import shared_dir
+from cairnflow.durable import run_dir
 from cairnflow.functions import scalars as S
 from cairnflow.operators import correlation, entities, evidence, flatten, graph, heuristics, ingest, ml, risk
 from cairnflow.plans import projections as P
@@ -23,7 +23,7 @@ def _nested(spark, d):
 
 
 def _file(spark, kind):
-    return f"{shared_dir(spark)}/cairnflow/file-{uuid.uuid4().hex}.{kind}"
+    return f"{run_dir(spark)}/file-{uuid.uuid4().hex}.{kind}"
 
 
 NESTED = W + " SELECT tx_idx, string_agg(CAST(addr AS VARCHAR), ',' ORDER BY pos) AS addrs, count(*) AS n FROM outputs WHERE tx_idx < 300 GROUP BY 1"

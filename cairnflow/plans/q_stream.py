@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cairnflow.durable import shared_dir
+from cairnflow.durable import run_dir
 from cairnflow.plans import projections as P
 from cairnflow.plans.registry import query
 from cairnflow.streaming import replay
@@ -19,7 +19,7 @@ def _stream(spark, d):
 
 def _drained(spark, stream, mode: str = "append"):
     tag = uuid.uuid4().hex
-    return replay.drain(stream, f"out_{tag}", f"{shared_dir(spark)}/cairnflow/stream-{tag}", mode)
+    return replay.drain(stream, f"out_{tag}", f"{run_dir(spark)}/stream-{tag}", mode)
 
 
 @query("t01_stream_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -43,7 +43,7 @@ def t03(spark, d):
 @query("t04_feed_edges", "SELECT event_id AS src, event_id + 1 AS dst FROM events WHERE event_id % 3 = 0 AND event_id + 1 IN (SELECT event_id FROM events)")
 def t04(spark, d):
     e = P.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("src"), (F.col("event_id") + 1).alias("dst"))
-    at = f"{shared_dir(spark)}/cairnflow/feed-{uuid.uuid4().hex}"
+    at = f"{run_dir(spark)}/feed-{uuid.uuid4().hex}"
     feed = replay.Feed(spark, at, e)
     feed.run(_stream(spark, d), f"{at}/checkpoint")
     return feed.active_edges()
