@@ -8,7 +8,7 @@ carried from document to document, so that the taken words of every block come n
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; the null source is a source and comes last; rows
 repeated with the same id are separate documents with rates of their own; one source may hold most rows, since blocks of bounded size
-are rounded apart; an empty table gives an empty result; extra columns are dropped unless named in ``keep``.
+are rounded apart; an empty table gives an empty result; extra columns are ignored by ``mix`` and kept by ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import read, stash
+from cairnflow.llm.common import field, read, release, rows_of, stash, tie_of
+from cairnflow.operators.ordered import running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -35,27 +36,28 @@ def word_count(text: F.Column) -> F.Column:
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Water-filling over the sources table (source, n, words): target = min(cap * words, weight * level).
 
-    Resharing the excess by weight until no source is above its cap ends at that level; it is read off cumulative sums over
-    the sources in the order in which they fill up.
+    Resharing the excess by weight until no source is above its cap ends at that level; it is read off running sums over the
+    sources in the order in which they fill up. Sums run by range, so there may be many sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    by_name = [F.col("source").asc_nulls_last()]
     cyc = F.array(*[F.lit(float(w)) for w in weights])
-    s = sizes.withColumn("weight", F.element_at(cyc, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
+    s = running(sizes, by_name, {"at": F.lit(1)}).withColumn("weight", F.element_at(cyc, ((F.col("at") - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("most", F.col("words") * F.lit(float(cap))).withColumn("fills_at", F.col("most") / F.col("weight"))
-    order = Window.orderBy("fills_at", F.col("source").asc_nulls_last())
-    full, before = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("words").over(full) * F.lit(float(share))
-    left_weight = F.sum("weight").over(full) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / left_weight
-    s = s.withColumn("level", level).withColumn("at", F.row_number().over(order))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("at", "level"))).over(full)["level"])
-    return s.select("source", "n", "words", F.least("most", F.col("weight") * F.coalesce("level", F.lit(float("inf")))).alias("target"), "most")
+    s = running(s, [F.col("fills_at").asc(), *by_name], {"most_to": F.col("most"), "weight_to": F.col("weight")})
+    n, words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    weight = n // len(weights) * sum(weights) + sum(weights[: n % len(weights)])
+    level = (F.lit(float(share * words)) - F.col("most_to") + F.col("most")) / (F.lit(float(weight)) - F.col("weight_to") + F.col("weight"))
+    s = stash(s.withColumn("level", level), "levels")
+    first = s.where(F.col("level") <= F.col("fills_at")).agg(F.min_by("level", F.struct("fills_at", F.col("source").isNull().alias("last"), "source"))).first()[0]
+    level = F.lit(float("inf") if first is None else first)
+    return s.select("source", "n", "words", F.least("most", F.col("weight") * level).alias("target"), "most")
 
 
-def balance(histogram: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = 40, tolerance: float = 1e-9) -> DataFrame:
+def balance(histogram: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
     """(source, n, words, target, lam, full): the dual solution. ``full`` marks sources whose target needs every rate at the cap.
 
-    A Newton step that leaves the bracket known to hold the root is replaced by bisection, so each source converges.
+    A Newton step that leaves the bracket known to hold the root is replaced by bisection, so each source converges; if one
+    hasn't after ``steps`` steps, that raises.
     """
     lam = goals.select(
         "source", "n", "words", "target",
@@ -64,28 +66,33 @@ def balance(histogram: DataFrame, goals: DataFrame, cap: float = CAP, steps: int
     )
     lam = stash(lam, "dual")
     for _ in range(steps):
-        x = F.col("size") * F.col("m.n") / F.col("m.words")
-        rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(700.0))))
-        live = lam.where(~F.col("done") & ~F.col("full") & (F.col("words") > 0))
-        sums = (
-            histogram.alias("h").join(live.alias("m"), F.col("h.source").eqNullSafe(F.col("m.source")))
-            .groupBy(F.col("m.source").alias("source"))
-            .agg(F.sum(F.col("docs") * F.col("size") * rate).alias("got"), F.sum(F.when(rate < cap, F.col("docs") * F.col("size") * rate * x).otherwise(0.0)).alias("slope"))
-        )
-        gap = F.col("got") - F.col("target")
-        low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap >= 0, F.col("lam")).otherwise(F.col("high"))
-        step = F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope"))
-        inside = step.isNotNull() & F.coalesce(step > low, F.lit(True)) & F.coalesce(step < high, F.lit(True))
-        middle = F.when(high.isNull(), low * 2 + 1).when(low.isNull(), high * 2 - 1).otherwise((low + high) / 2)
-        moved = lam.alias("l").join(sums.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source")), "left").select(
-            "l.source", "n", "words", "target", "full",
-            F.when(F.col("got").isNull() | (F.abs(gap) <= F.col("target") * tolerance), F.col("lam")).when(inside, step).otherwise(middle).alias("lam"),
-            low.alias("low"), high.alias("high"), (F.col("done") | F.col("got").isNull() | (F.abs(gap) <= F.col("target") * tolerance)).alias("done"),
-        )
-        lam = stash(moved, "dual")
-        if not lam.where(~F.col("done")).limit(1).count():
-            break
-    return lam.select("source", "n", "words", "target", "full", "lam")
+        before, lam = lam, stash(newton_step(histogram, lam, cap, tolerance), "dual")
+        release(before)
+        if not lam.where(~F.col("done")).take(1):
+            return lam.select("source", "n", "words", "target", "full", "lam")
+    raise RuntimeError(f"the dual did not converge in {steps} steps")
+
+
+def newton_step(histogram: DataFrame, lam: DataFrame, cap: float, tolerance: float) -> DataFrame:
+    """One step for the sources that aren't done: the words that their rates give and the slope, summed over the histogram."""
+    x = F.col("size") * F.col("m.n") / F.col("m.words")
+    rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(700.0))))
+    live = lam.where(~F.col("done") & ~F.col("full") & (F.col("words") > 0))
+    sums = (
+        histogram.alias("h").join(live.alias("m"), F.col("h.source").eqNullSafe(F.col("m.source")))
+        .groupBy(F.col("m.source").alias("source"))
+        .agg(F.sum(F.col("docs") * F.col("size") * rate).alias("got"), F.sum(F.when(rate < cap, F.col("docs") * F.col("size") * rate * x).otherwise(0.0)).alias("slope"))
+    )
+    gap = F.col("got") - F.col("target")
+    low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap >= 0, F.col("lam")).otherwise(F.col("high"))
+    step = F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope"))
+    inside = step.isNotNull() & F.coalesce(step > low, F.lit(True)) & F.coalesce(step < high, F.lit(True))
+    middle = F.when(high.isNull(), low * 2 + 1).when(low.isNull(), high * 2 - 1).otherwise((low + high) / 2)
+    return lam.alias("l").join(sums.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source")), "left").select(
+        "l.source", "n", "words", "target", "full",
+        F.when(F.col("got").isNull() | (F.abs(gap) <= F.col("target") * tolerance), F.col("lam")).when(inside, step).otherwise(middle).alias("lam"),
+        low.alias("low"), high.alias("high"), (F.col("done") | F.col("got").isNull() | (F.abs(gap) <= F.col("target") * tolerance)).alias("done"),
+    )
 
 
 def round_rates(rows: DataFrame, schema: str, cap: float = CAP) -> DataFrame:
@@ -109,12 +116,12 @@ def round_rates(rows: DataFrame, schema: str, cap: float = CAP) -> DataFrame:
     return rows.groupBy("block_source", "block").applyInPandas(one, schema)
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP,
+def _mixed(
+    rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate's copies and taken words (size * copies)."""
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")), "sizes")
+    """doc_id, source, size, source_size, target, copies and the key of each row of ``rows`` (of ``rows_of``)."""
+    picked = rows.select("row", field(id_col).alias("doc_id"), field(source_col).cast("string").alias("source"), word_count(field(text_col)).alias("size"), tie_of(docs).alias("tie"))
+    sized = stash(picked, "sizes")
     histogram = stash(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("size")).alias("words"))
     dual = balance(histogram, targets(sizes, weights, share, cap), cap)
@@ -122,26 +129,35 @@ def mix(
     rate = F.when(F.col("words") == 0, 0.0).when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * x, F.lit(700.0)))))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK))
     rated = sized.alias("d").join(dual.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source"))).select(
-        "doc_id", "d.source", "size", F.col("words").alias("source_size"), "target", "tie", rate.alias("rate"),
+        "row", "doc_id", "d.source", "size", F.col("words").alias("source_size"), "target", "tie", rate.alias("rate"),
         F.coalesce(F.col("d.source"), F.lit("")).alias("block_source"),
         (F.pmod(F.xxhash64("doc_id", "tie"), blocks) * 2 + F.col("d.source").isNull().cast("int")).alias("block"),
     )
-    kind = dict(docs.dtypes)[id_col]
-    out = round_rates(rated, f"doc_id {kind}, source string, size bigint, source_size bigint, target double, tie bigint, copies bigint", cap)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return round_rates(rated, f"row binary, doc_id {kind}, source string, size bigint, source_size bigint, target double, tie bigint, copies bigint", cap)
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP,
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies and taken words (size * copies)."""
+    out = _mixed(rows_of(docs), docs, id_col, text_col, source_col, weights, share, cap)
+    return out.drop("row", "tie").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns. Documents of no copies go; the copies of
-    rows repeated with the same id and text are counted together."""
-    taken = mix(docs, **how).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where(F.col("copies") > 0)
-    taken = stash(taken.withColumnRenamed("doc_id", "__id").withColumnRenamed("tie", "__tie"), "taken")
-    rows = docs.withColumn("__text", F.xxhash64("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tie")))
-    out = rows
-    if taken.where(F.col("rows") > 1).limit(1).count():
-        out = rows.where(F.col("rows") == 1).unionByName(rows.where(F.col("rows") > 1).dropDuplicates(["__id", "__tie"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+def mixed_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP,
+) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken, with its own columns whatever their names. Rows of no copies go,
+    among them empty and null texts; repeated rows are taken one by one, and null ids and sources are as good as any; an empty
+    table gives an empty result."""
+    rows = rows_of(docs)
+    taken = stash(_mixed(rows, docs, id_col, text_col, source_col, weights, share, cap).where(F.col("copies") > 0).select("row", "copies"), "taken")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return rows.join(taken, "row").select("own", times.alias("copy")).select("own.*")
