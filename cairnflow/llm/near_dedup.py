@@ -12,8 +12,12 @@ Equal texts are one node. In a band bucket of up to PAIRED texts all pairs are c
 one pivot; then those that still lie outside the pivot's class are compared, in blocks, with those inside and with each other. So no
 candidate is left out, yet no list of all pairs is made, and a group of thousands of copies costs little more than a comparison each.
 
+Hot keys: rows that meet facts about their digest, band bucket or class are dealt by key and salt (``join_hot``), a pivot's text goes
+to a task for every PIVOT_PAIRS of its partners, and texts are met by their place in the files, which no two rows share.
+
 Defined cases: null counts as empty; a text without words is only alike to texts equal to it; a null id is kept, and is not below
-any other; rows repeated with the same id and text are one class; an empty table gives an empty result; extra columns are ignored.
+any other; rows repeated with the same id and text are one class, of which one row stays; an empty table gives an empty result;
+extra columns are ignored by ``near_duplicates`` and kept, whatever their names, by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import keep_winners, read, scan_texts, small, stash
+from cairnflow.llm.common import field, join_hot, keep_rows, read, rows_of, salts, scan_texts, stash, tie_of
 from cairnflow.operators.components import connected_components
 
 SHINGLE = 5
@@ -39,20 +43,23 @@ COMMON = 0.05
 PAIRED = 6
 #: Texts on either side of a comparison of blocks.
 BLOCK = 256
-#: Nodes are joined to their texts by broadcast up to this many of them (some 50 bytes each).
-BROADCAST_ROWS = 500_000
-CACHE_WORDS = 200_000
+#: Partners of a pivot for which its text is sent once.
+PIVOT_PAIRS = 1024
+#: Partitions whose document frequencies are summed together first.
+DF_GROUPS = 256
+CACHE_WORDS, CACHED_LENGTH = 200_000, 40
 _TABLE = 16
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
 class Hashes(dict):
     """64-bit hash of each word, kept for a task, as Python workers live on into stages that don't need them. The frequent words
-    come early; what comes when CACHE_WORDS are kept isn't kept."""
+    come early; what comes when CACHE_WORDS are kept isn't kept, nor are words of more than CACHED_LENGTH letters (whole lines, in
+    scripts without spaces)."""
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_WORDS and len(word) <= CACHED_LENGTH:
             self[word] = value
         return value
 
@@ -79,8 +86,9 @@ def buckets(s: np.ndarray) -> np.ndarray:
     return ((s * _P[1]) >> np.uint64(64 - DF_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """(documents in each hash bucket, documents): partitions count apart, and the counts are summed by chunk of the table."""
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(documents in each hash bucket, documents) of rows of (text). Partitions count apart; the counts are summed by chunk of the
+    table, of DF_GROUPS groups of partitions first, so that no task gets one of every partition."""
     width = (1 << DF_BITS) // DF_CHUNKS
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
@@ -89,17 +97,20 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             found = [buckets(shingles(t or "")[0]) for t in b["text"]]
             n += len(found)
             total += np.bincount(np.concatenate([np.unique(x) for x in found] or [np.zeros(0, dtype=np.int64)]), minlength=1 << DF_BITS)
-        parts = total.reshape(DF_CHUNKS, width).astype(np.int32)
         _hashes.clear()
-        yield {"chunk": [*range(DF_CHUNKS), -1], "counts": [*(x.tobytes() for x in parts), np.array([n], dtype=np.int32).tobytes()]}
+        yield {"chunk": [*range(DF_CHUNKS), -1], "counts": [*(x.tobytes() for x in total.reshape(DF_CHUNKS, width)), np.array([n]).tobytes()]}
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in rows["counts"])
+        total = 0
+        for x in rows["counts"]:
+            total = total + np.frombuffer(x, dtype=np.int64)
         return pd.DataFrame({"chunk": rows["chunk"][:1], "counts": [total.tobytes()]})
 
-    parts = scan_texts(docs.select(F.col(text_col).alias("text")), "chunk int, counts binary", count)
+    out = "chunk int, counts binary"
+    parts = scan_texts(texts.select("text"), out, count).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(DF_GROUPS)))
+    some = parts.groupBy("chunk", "part").applyInPandas(lambda rows: add(rows), out)
     table, n = np.zeros((DF_CHUNKS, width), dtype=np.int64), 0
-    for r in parts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # DF_CHUNKS + 1 rows
+    for r in some.groupBy("chunk").applyInPandas(add, out).collect():  # DF_CHUNKS + 1 rows
         got = np.frombuffer(r["counts"], dtype=np.int64)
         if r["chunk"] < 0:
             n = int(got[0])
@@ -118,8 +129,8 @@ def weights_of(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sampler:
-    """Consistent samples. A shingle's random draws (r, c, beta) for sample i are read from one table of draws, at a place that
-    mixes the shingle's hash with the sample's multiplier."""
+    """Consistent samples. A shingle's random draws (r, c, beta) for sample i are read from tables of draws, each at a place of its own
+    that mixes the shingle's hash with the sample's multiplier: 48 bits in all, so that long texts don't share draws."""
 
     def __init__(self, seed: int = 11):
         draw = np.random.default_rng(seed)
@@ -139,10 +150,12 @@ class Sampler:
         every = np.arange(SAMPLES)
         for at in range(0, len(s), block):
             h, log_w = s[at : at + block], np.log(w[at : at + block]).astype(np.float32)
-            i = ((self.mult[:, None] * h[None, :]) >> np.uint64(64 - _TABLE)).astype(np.intp)
-            r = self.r[i]
-            t = np.floor(log_w[None, :] / r + self.beta[i])
-            a = self.log_c[i] - r * (t - self.beta[i] + 1)
+            mixed = self.mult[:, None] * h[None, :]
+            mixed ^= mixed >> np.uint64(32)
+            i = mixed.view(np.uint16).reshape(*mixed.shape, 4)  # three of the four 16-bit places
+            r, beta = self.r[i[..., 1]], self.beta[i[..., 0]]
+            t = np.floor(log_w[None, :] / r + beta)
+            a = self.log_c[i[..., 2]] - r * (t - beta + 1)
             j = a.argmin(axis=1)
             now = a[every, j]
             new = now < best
@@ -159,22 +172,22 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, bands) of every row; bands are empty without words."""
+def signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(doc_id, tie, key, digest, bands) of rows of (doc_id, tie, key, text); bands are empty without words."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         sampler = Sampler()
         for b in batches:
             out = []
-            for t in b["text"]:
+            for t in b.pop("text"):
                 s, w = weights_of(t or "", idf)
                 out.append(sampler.bands(s, w) if len(s) else [])
-            yield {"doc_id": b["doc_id"], "digest": b["digest"], "bands": out}
+            yield b | {"bands": out}
         _hashes.clear()
 
-    kind = dict(docs.dtypes)[id_col]
-    picked = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    return scan_texts(picked, f"doc_id {kind}, digest binary, bands array<bigint>", scan)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    picked = rows.select("doc_id", "tie", "key", digest_of(F.col("text")).alias("digest"), "text")
+    return scan_texts(picked, f"doc_id {kind}, tie bigint, key binary, digest binary, bands array<bigint>", scan)
 
 
 def digest_of(text: F.Column) -> F.Column:
@@ -189,7 +202,8 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is ``threshold`` or more."""
+    """The pairs (a, b) whose similarity is ``threshold`` or more, of rows (a, b, salts): a's text goes to each of its ``salts`` parts of
+    the partners, so that no task gets all partners of one text."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         last: tuple = (None, None)
@@ -202,8 +216,10 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
             yield {"a": x["a"], "b": x["b"], "similarity": keep}
         _hashes.clear()
 
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(5)), "salts"))
+    left = pairs.select("a", "salts", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(right, "b").join(left, ["a", "salts", "salt"]).select("a", "b", "text_a", "text_b")
     return scan_texts(both, "a bigint, b bigint, similarity double", scan, 200).where(F.col("similarity") >= threshold)
 
 
@@ -261,9 +277,9 @@ def block_tasks(rest: DataFrame) -> DataFrame:
     """Rows (key, l, kind, o, left, node, class) of the tasks that compare, in each bucket, the texts outside the pivot's class with
     those inside (kind 0) and with each other (kind 1), BLOCK texts a side. ``rest`` has (key, node, class, pivot, pivot_class)."""
     out = F.col("class") != F.col("pivot_class")
-    sizes = rest.groupBy("key").agg(F.count_if(out).alias("n_out"), F.count_if(~out & (F.col("node") != F.col("pivot"))).alias("n_in")).where("n_out > 0")
+    sizes = rest.groupBy("key").agg(F.count_if(out).alias("n_out"), F.count_if(~out & (F.col("node") != F.col("pivot"))).alias("n_in"), salts("node")).where("n_out > 0")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK)
-    rows = rest.where(F.col("node") != F.col("pivot")).join(sizes.select("key", blocks("n_out").alias("outs"), blocks("n_in").alias("ins")), "key")
+    rows = join_hot(rest.where(F.col("node") != F.col("pivot")), sizes.select("key", "salts", blocks("n_out").alias("outs"), blocks("n_in").alias("ins")), "key", "node")
     at = F.xxhash64("node", F.lit(7))
     upto = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
     zero = F.lit(0).cast("bigint")
@@ -280,60 +296,58 @@ def block_tasks(rest: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, texts_of, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links (a, b) among ``members`` (key, node) that make the same classes as all links do."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"))
-    sized = stash(members.join(sizes.where(F.col("n") > 1), "key"), "sized")
+    """Links (a, b) among ``members`` (key, node) that make the same classes as all links do. ``texts_of`` gives (node, text) of the
+    nodes that it is asked for; it is asked once."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), salts("node")).where(F.col("n") > 1)
+    sized = stash(join_hot(members, sizes, "key", "node"), "sized")
+    texts = texts_of(sized.select("node"))
     few, many = sized.where(F.col("n") <= PAIRED), sized.where(F.col("n") > PAIRED)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = pairs.unionByName(many.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
-    pairs = stash(pairs, "pairs")
-    found = stash(verify(pairs, texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), idf, threshold).select("a", "b"), "links")
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b", F.lit(1).alias("n"))
+    pairs = pairs.unionByName(many.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n"))
+    pairs = pairs.groupBy("a", "b").agg(F.ceil(F.max("n") / PIVOT_PAIRS).alias("salts"))
+    found = stash(verify(stash(pairs, "pairs"), texts, idf, threshold).select("a", "b"), "links")
     classes = connected_components(found, "a", "b").withColumnRenamed("component", "class")
-    rest = many.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"), "pivot")
-    of_pivot = rest.where("node = pivot").select("key", F.col("class").alias("pivot_class"))
-    tasks = stash(block_tasks(stash(rest.join(of_pivot, "key"), "rest")), "tasks")
-    if not tasks.limit(1).count():
+    rest = stash(many.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"), "pivot"), "rest")
+    of_pivot = rest.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("class"))).alias("pivot_class"), salts("node"))
+    tasks = stash(block_tasks(stash(join_hot(rest, of_pivot, "key", "node"), "rest")), "tasks")
+    if not tasks.take(1):
         return found
-    rows = tasks.join(texts_of(tasks.select("node")), "node")
-    return found.unionByName(stash(compare_blocks(rows, idf, threshold), "links"))
+    return found.unionByName(stash(compare_blocks(tasks.join(texts, "node"), idf, threshold), "links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept (one document of each class, that of
-    the smallest id) and digest (MD5 of the text)."""
-    df, n = document_frequencies(docs, text_col)
-    idf = inverse_frequencies(df, n)
-    rows = stash(signatures(docs, idf, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    nodes = rows.groupBy("digest").agg(F.min(F.struct("row", "doc_id", "bands")).alias("x"))
-    nodes = stash(nodes.select("digest", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), F.col("x.bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-    members = keyed.join(shared, "key")
+def _classes(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(key, doc_id, class_id, class_size, kept) of ``rows`` (of ``rows_of``)."""
+    texts = rows.select(field(id_col).alias("doc_id"), tie_of(docs).alias("tie"), F.col("row").alias("key"), F.coalesce(field(text_col).cast("string"), F.lit("")).alias("text"))
+    idf = inverse_frequencies(*document_frequencies(texts))
+    signed = stash(signatures(texts, idf).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    nodes = signed.groupBy("digest").agg(F.min(F.struct("row", "key", "bands")).alias("x"), salts("row"))
+    nodes = stash(nodes.select("digest", "salts", F.col("x.row").alias("node"), F.col("x.key").alias("key"), F.col("x.bands").alias("bands")), "nodes")
+    members = nodes.select("node", F.explode("bands").alias("key"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        needed = wanted.distinct()
-        needed = stash(needed.join(nodes.select("node", "digest", F.col("doc_id").alias("node_doc")), "node"), "needed")
-        whole = docs.select(F.col(id_col).alias("node_doc_2"), digest_of(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        got = whole.join(small(needed, BROADCAST_ROWS), "digest").where(F.col("node_doc").eqNullSafe(F.col("node_doc_2")))
-        return stash(got.select("node", "text"), "texts").dropDuplicates(["node"])
+        needed = stash(wanted.distinct().join(nodes.select("node", "key"), "node"), "needed")
+        return stash(texts.select("key", "text").join(needed, "key").select("node", "text"), "texts")
 
     classes = connected_components(links(members, texts_of, idf, threshold), "a", "b")
-    labelled = nodes.join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
-    rows = stash(rows.select("row", "doc_id", "digest").join(labelled, "digest").select("row", "doc_id", "digest", "class"), "classes")
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    sizes = rows.groupBy("class").agg(low.alias("low"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, "class").select(
-        "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("low.row")).alias("kept"), "digest"
-    )
+    labelled = nodes.join(classes, "node", "left").select("digest", "salts", F.coalesce("component", "node").alias("class"))
+    labelled = stash(join_hot(signed.select("row", "key", "doc_id", "tie", "digest"), labelled, "digest", "row"), "classes")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row")).alias("low")
+    sizes = labelled.groupBy("class").agg(low, F.count(F.lit(1)).alias("class_size"), salts("row"))
+    return join_hot(labelled, sizes, "class", "row").select("key", "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("low.row")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), class_size and kept (one document of each class, that of
+    the smallest id; of repeated rows that of the smallest hash of all columns)."""
+    return _classes(rows_of(docs), docs, id_col, text_col, threshold).drop("key")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, one of each class, with their own columns."""
-    seen = near_duplicates(docs).where(F.col("class_size") > 1)
-    many = seen.groupBy("digest").agg(F.max(F.when(F.col("kept"), F.struct("doc_id"))).alias("win"))
-    decisions = stash(many.select("digest", F.col("win.doc_id").alias("win_id"), F.col("win").isNotNull().alias("stays")), "decisions")
-    return keep_winners(docs, digest_of(F.col("text")), decisions)
+    rows = rows_of(docs)
+    seen = _classes(rows, docs, id_col, text_col, threshold)
+    return keep_rows(rows, stash(seen.where(~F.col("kept")).select(F.col("key").alias("row")), "dropped"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates(read(spark, sf_dir, "documents"))
