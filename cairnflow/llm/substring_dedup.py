@@ -3,12 +3,13 @@
 A text is split into sentences (after . ! ? and white space, after the sentence ends of other scripts, and at line ends). From every
 sentence a run starts and at every sentence one ends: the fewest consecutive sentences, two at least, with RUN_WORDS words or more. A
 sentence of LONG_WORDS words is a run alone. With both directions, every sentence of a repeated passage of two sentences or more and
-RUN_WORDS words lies in a run inside that passage. Runs are hashed and met globally: of equal runs the first (smallest id, then
-position) stays, and every sentence that any other covers goes. Scripts without spaces count two letters as a word.
+RUN_WORDS words lies in a run inside that passage. Runs are hashed (128 bits) and met globally: of equal runs the first (smallest id,
+then a hash of the row, then position) stays, and every sentence that any other covers goes. Scripts without spaces count two letters
+as a word. The occurrences of one run, which may be a large part of all, are dealt over many tasks by their rows.
 
 Defined cases: null counts as empty; texts without a run lose nothing; null ids come last; rows repeated with the same id and text
 count as separate documents, of which one stays whole; a run repeated within one text is a repeat as well; an empty table gives
-an empty result; extra columns are ignored by ``repeated_spans`` and kept by ``remove_repeats``.
+an empty result; extra columns are ignored by ``repeated_spans`` and kept, whatever their names, by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import read, scan_texts, stash
+from cairnflow.llm.common import field, join_hot, read, rows_of, salts, scan_texts, stash, tie_of
 
 RUN_WORDS = 12
 LONG_WORDS = 20
@@ -45,7 +46,7 @@ def lengths(text: str, parts: list[str]) -> list[int]:
     return [len(p.split()) + len(_NO_SPACES.findall(p)) // 2 for p in parts]
 
 
-def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
     """The sentences, and (first sentence, how many, hash) of each run."""
     at = sentences(text)
     parts = [text[a:b] for a, b in at]
@@ -74,17 +75,16 @@ def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     found = []
     for i, j in sorted(picked):
         if j == i + 1 or short[j] > short[i]:  # a run of long sentences alone says no more than they do
-            found.append((i, j - i, xxhash.xxh3_64_intdigest("\n".join(parts[i:j]).encode("utf-8", "surrogatepass")) - (1 << 63)))
+            found.append((i, j - i, xxhash.xxh3_128_digest("\n".join(parts[i:j]).encode("utf-8", "surrogatepass"))))
     return at, found
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per span to remove, as long as possible: row (of ``docs``, in the order read), doc_id, start, end (code points, end
-    exclusive), n_sentences, and keep_doc_id, the document in which the span's first run stays."""
+def _spans(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, start, end, n_sentences, keep_doc_id) of the spans to remove from ``rows`` (of ``rows_of``)."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict = {"doc_id": b["doc_id"], "starts": [], "ends": [], "runs": []}
+            out: dict = {"key": b["key"], "doc_id": b["doc_id"], "tie": b["tie"], "starts": [], "ends": [], "runs": []}
             for t in b["text"]:
                 at, found = runs(t or "")
                 out["starts"].append([a for a, _ in at])
@@ -92,21 +92,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["runs"].append([{"pos": p, "n": n, "h": h} for p, n, h in found])
             yield out
 
-    kind = dict(docs.dtypes)[id_col]
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = scan_texts(picked, f"doc_id {kind}, starts array<int>, ends array<int>, runs array<struct<pos:int,n:int,h:bigint>>", scan)
-    scanned = stash(scanned.withColumn("row", F.monotonically_increasing_id()), "runs")
-    each = scanned.select("row", "doc_id", F.explode("runs").alias("r")).select("row", "doc_id", "r.pos", "r.n", "r.h")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")).alias("first")
-    repeated = each.groupBy("h").agg(first, F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("h", "first")
-    extra = each.join(repeated, "h").where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = rows.select(F.col("row").alias("key"), field(id_col).alias("doc_id"), tie_of(docs).alias("tie"), field(text_col).cast("string").alias("text"))
+    schema = f"key binary, doc_id {kind}, tie bigint, starts array<int>, ends array<int>, runs array<struct<pos:int,n:int,h:binary>>"
+    scanned = stash(scan_texts(picked, schema, scan).withColumn("row", F.monotonically_increasing_id()), "runs")
+    each = scanned.select("row", "doc_id", "tie", F.explode("runs").alias("r")).select("row", "doc_id", "tie", "r.pos", "r.n", "r.h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row", "pos")).alias("first")
+    repeated = each.groupBy("h").agg(first, F.count(F.lit(1)).alias("times"), salts("row")).where(F.col("times") > 1)
+    extra = join_hot(each.select("row", "pos", "n", "h"), repeated.select("h", "first", "salts"), "h", "row")
+    extra = extra.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
     per_row = extra.groupBy("row").agg(F.collect_list(F.struct("pos", "n", F.col("first.doc_id").alias("keep"))).alias("gone"))
-    joined = per_row.join(scanned.select("row", "doc_id", "starts", "ends"), "row")
+    joined = per_row.join(scanned.select("row", "key", "doc_id", "starts", "ends"), "row")
 
     def merge(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict = {k: [] for k in ("row", "doc_id", "start", "end", "n_sentences", "keep_doc_id")}
-            for row, doc, gone, starts, ends in zip(b["row"], b["doc_id"], b["gone"], b["starts"], b["ends"], strict=True):
+            out: dict = {k: [] for k in ("key", "doc_id", "start", "end", "n_sentences", "keep_doc_id")}
+            for key, doc, gone, starts, ends in zip(b["key"], b["doc_id"], b["gone"], b["starts"], b["ends"], strict=True):
                 spans: list[list] = []
                 for g in sorted(gone, key=lambda g: (g["pos"], g["n"], g["keep"] is None, g["keep"] or 0)):
                     if spans and g["pos"] <= spans[-1][1]:
@@ -114,25 +115,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         spans.append([g["pos"], g["pos"] + g["n"], g["keep"]])
                 for a, e, keep in spans:
-                    for k, v in zip(out, (row, doc, starts[a], ends[e - 1], e - a, keep), strict=True):
+                    for k, v in zip(out, (key, doc, starts[a], ends[e - 1], e - a, keep), strict=True):
                         out[k].append(v)
             yield out
 
-    return scan_texts(joined, f"row bigint, doc_id {kind}, start int, end int, n_sentences int, keep_doc_id {kind}", merge)
+    return scan_texts(joined, f"key binary, doc_id {kind}, start int, end int, n_sentences int, keep_doc_id {kind}", merge)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per span to remove, as long as possible: doc_id, start, end (code points, end exclusive), n_sentences, and
+    keep_doc_id, the document in which the span's first run stays."""
+    return _spans(rows_of(docs), docs, id_col, text_col).drop("key")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated spans cut out of the texts. The ids must be unique here, as texts are met by id."""
-    spans = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_id").alias("span_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    text, cut = F.coalesce(F.col(text_col), F.lit("")), F.col("spans")
+    """``docs`` with the repeated spans cut out of the texts. Spans meet their rows by place, so ids may be null or repeated: of rows
+    of one text one stays whole."""
+    rows = rows_of(docs)
+    spans = _spans(rows, docs, id_col, text_col).groupBy(F.col("key").alias("row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    text, cut = F.coalesce(field(text_col), F.lit("")), F.col("cut")
     kept = F.aggregate(
         cut, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, x: F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    joined = docs.join(spans, docs[id_col] == spans["span_doc"], "left")
-    return joined.withColumn(text_col, F.when(cut.isNotNull(), kept).otherwise(F.col(text_col))).select(*docs.columns)
+    joined = rows.join(stash(spans, "cuts"), "row", "left")
+    return joined.select(F.col("own").withField(f"`{text_col}`", F.when(cut.isNotNull(), kept).otherwise(field(text_col))).alias("own")).select("own.*")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read(spark, sf_dir, "documents")).drop("row")
+    return repeated_spans(read(spark, sf_dir, "documents"))
