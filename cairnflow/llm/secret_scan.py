@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import read, scan_texts, stash
+from cairnflow.llm.common import join_hot, read, salts, scan_texts, stash
 
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE
@@ -113,9 +113,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each candidate hash. Both are de-duplicated map-side first, so a value that
-    a third of all rows hold is a few rows when it is counted."""
-    repos = found.groupBy("hash", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"), F.sum("n").alias("n_seen"))
+    """Distinct repositories and owners of each candidate hash, with the salts of its rows. Both are de-duplicated map-side first, so
+    a value that a third of all rows hold is a few rows when it is counted."""
+    bits = F.bit_or("salts").alias("salts")
+    repos = found.groupBy("hash", "repo").agg(F.count(F.lit(1)).alias("n"), salts("row")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"), F.sum("n").alias("n_seen"), bits)
     owners = found.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
     return repos.join(owners, "hash")
 
@@ -132,7 +133,7 @@ def scan_secrets(
     rows = per_doc.where(F.size("found") > 0).select("row", "doc_id", "repo", "owner", F.explode("found").alias("f")).select("row", "doc_id", "repo", "owner", "f.*")
     counts = ownership(rows)
     verdict = F.when(F.col("n_owners") <= max_live_owners, "live").when(F.col("n_owners") >= min_example_owners, "example").otherwise("shared")
-    return per_doc, rows.join(counts, "hash").withColumn("verdict", verdict)
+    return per_doc, join_hot(rows, counts, "hash", "row").withColumn("verdict", verdict)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
