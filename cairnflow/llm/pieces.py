@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from cairnflow.llm.common import BATCH_ROWS, read
 
@@ -238,7 +238,7 @@ class Lattice:
             ids = known.get(u)
             if ids is None:
                 ids = self.word(u)
-                if len(known) < CACHE_WORDS:
+                if len(u) <= SHORT and len(known) < CACHE_WORDS:
                     known[u] = ids
             here[u] = ids
         return b"".join(map(here.__getitem__, units))
@@ -262,10 +262,10 @@ def _lattice(table: PieceTable, tag: str) -> Lattice:
 
 def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", check: bool = True) -> DataFrame:
     """``docs`` without its text, with n_tokens, ids and, if ``check``, round_trip: whether the ids decode to the text."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    own = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "round_trip")]
+    own = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_tokens", "ids", "round_trip")]
     tag = f"{len(table.pieces)}-{hash((tuple(table.pieces), table.bpe, table.prefix))}"
-    schema = docs.select(*own).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType()))
+    packed = docs.select(F.struct(F.lit(0).alias("at"), *[docs[f"`{c}`"] for c in own]).alias("own"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    schema = StructType([docs.schema[c] for c in own]).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType()))
     if check:
         schema = schema.add("round_trip", BooleanType())
 
@@ -274,17 +274,17 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", check: bo
         for b in batches:
             for at in range(0, b.num_rows, BATCH_ROWS):
                 rows = b.slice(at, BATCH_ROWS)
-                texts = rows.column("text_").to_pylist()
+                texts = rows.column("text").to_pylist()
                 raw = [lattice.text(t or "") for t in texts]
                 ends = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), dtype=np.int32)
-                arrays = [rows.column(c) for c in own] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                arrays = rows.column("own").flatten()[1:] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if check:
                     same = [spell_out(np.frombuffer(x, dtype=np.int32).tolist(), lattice.table) == (t or "").replace(SPACE, " ") for x, t in zip(raw, texts, strict=True)]
                     arrays.append(pa.array(same, type=pa.bool_()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*own, F.col(text_col).alias("text_")).mapInArrow(run, schema)
+    return packed.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -21,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import BATCH_ROWS, held_out, labelled_sample, read, scan_texts, stash
+from cairnflow.llm.common import held_out, labelled_sample, read, scan_texts, stash
 
 FEATURES = 256
 BANDWIDTH = 4.0
 RIDGE = 1.0
 FOLDS = 4
 BINS = 3000
+GROUPS = 64
 LOW, HIGH = -1.0, 2.0
 THRESHOLD = 0.3
 #: Byte classes: 0 letter, 1 upper case, 2 digit, 3 white space, 4 sentence punctuation, 5 exclamation and question, 6 bar, 7 symbol, 8 beyond ASCII.
@@ -119,7 +120,8 @@ def moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def normal_equations(train: DataFrame, kernel: Kernel) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """{fold: (Z'Z, Z'y)}. Partitions emit their sums a row of the matrix at a time; the rows are summed by (fold, row)."""
+    """{fold: (Z'Z, Z'y)}. Partitions emit their sums a row of the matrix at a time; the rows are summed by (fold, row), of GROUPS groups
+    of partitions first, so that no task gets one of every partition."""
     width = FEATURES + N_STATS + 1
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +139,9 @@ def normal_equations(train: DataFrame, kernel: Kernel) -> dict[int, tuple[np.nda
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"fold": rows["fold"][:1], "i": rows["i"][:1], "sums": [np.sum(np.stack(rows["sums"].to_numpy()), axis=0)]})
 
-    parts = train.mapInPandas(one, "fold int, i int, sums array<double>").groupBy("fold", "i").applyInPandas(add, "fold int, i int, sums array<double>")
+    out_row = "fold int, i int, sums array<double>"
+    parts = train.mapInPandas(one, out_row).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    parts = parts.groupBy("fold", "i", "part").applyInPandas(lambda rows: add(rows), out_row).groupBy("fold", "i").applyInPandas(add, out_row)
     out: dict[int, np.ndarray] = {}
     for r in parts.toLocalIterator():
         out.setdefault(r["fold"], np.zeros((width, width + 1)))[r["i"]] = r["sums"]
@@ -199,18 +203,20 @@ def fit_on(train: DataFrame) -> tuple[Kernel, np.ndarray, np.ndarray] | None:
     return kernel, ridge(g, v), isotonic(*table)
 
 
+def score_of(stats: np.ndarray, model: tuple[Kernel, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Scores in [0, 1] of rows of statistics. A thousandth of the score is the raw value, so that ties in the calibrated steps keep
+    the order of the regression."""
+    kernel, w, steps = model
+    raw = np.einsum("ij,j->i", kernel(stats), w)  # row by row, so that a text scores alike in any batch
+    return 0.999 * steps[bin_of(raw)] + 0.001 * np.clip((raw - LOW) / (HIGH - LOW), 0, 1)
+
+
 def score(stats: DataFrame, model: tuple[Kernel, np.ndarray, np.ndarray] | None) -> DataFrame:
-    """The rows of ``stats`` with a score in [0, 1]. A thousandth of the score is the raw value, so that ties in the
-    calibrated steps keep the order of the regression."""
+    """The rows of ``stats`` with a score in [0, 1]."""
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if model is None or not len(f):
-                out = np.full(len(f), 0.5)
-            else:
-                kernel, w, steps = model
-                raw = kernel(np.stack(f["stats"].to_numpy())) @ w
-                out = 0.999 * steps[bin_of(raw)] + 0.001 * np.clip((raw - LOW) / (HIGH - LOW), 0, 1)
+            out = np.full(len(f), 0.5) if model is None or not len(f) else score_of(np.stack(f["stats"].to_numpy()), model)
             yield f.drop(columns="stats").assign(score=out)
 
     rest = [(c, t) for c, t in stats.dtypes if c != "stats"]
@@ -219,7 +225,8 @@ def score(stats: DataFrame, model: tuple[Kernel, np.ndarray, np.ndarray] | None)
 
 def good_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their own columns. Learning takes about ``max_rows`` labelled rows at
-    most; scores are computed as rows pass, so no text is shuffled."""
+    most; scores are computed as rows pass, so no text is shuffled. The score is that of ``classify``, so nulls, empty and long texts are
+treated alike; without a labelled row all stay; extra columns are kept, whatever their names."""
     picked = labelled_sample(docs, labels, "quality", max_rows)
     if picked is None:
         return docs
@@ -229,14 +236,11 @@ def good_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, thresh
     model = fit_on(stash(train, "train"))
     if model is None:
         return docs
-    kernel, w, steps = model
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
-        stats = np.array([statistics(t or "") for t in texts]).reshape(-1, N_STATS)
-        return pd.Series(steps[bin_of(kernel(stats) @ w)])
+        return pd.Series(score_of(np.array([statistics(t or "") for t in texts]).reshape(-1, N_STATS), model))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.where(quality(F.col("text")) >= threshold)
 
 

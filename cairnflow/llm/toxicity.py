@@ -34,17 +34,21 @@ THRESHOLD = 0.5
 POSITIVE = 3.0
 #: Lengths of word beginnings that count as words of their own, so that inflected forms share a coordinate.
 STEMS = (4, 5, 6, 7, 8)
+CACHED_LENGTH = 40
 _WORD = re.compile(r"\w+")
 
 
 class Hashes(dict):
-    """Hashes of each word and of its beginnings, as bytes; forgotten when there are more than half a million words."""
+    """Hashes of each word and of its beginnings, as bytes; forgotten when there are more than half a million words. Words of more than
+    CACHED_LENGTH letters (whole lines, in scripts without spaces) aren't kept."""
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > 500_000:
             self.clear()
         units = [word] + [f"{k} {word[:k]}" if len(word) >= k else word for k in STEMS]
-        value = self[word] = b"".join(xxhash.xxh64_digest(u.encode("utf-8", "surrogatepass")) for u in units)
+        value = b"".join(xxhash.xxh64_digest(u.encode("utf-8", "surrogatepass")) for u in units)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = value
         return value
 
 
