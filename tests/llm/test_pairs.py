@@ -17,6 +17,26 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, s, "k", "d") for i, t, s in rows], SCHEMA)
 
 
+#: Names that operators use inside, and of their results.
+CLASH = ["own", "row", "key", "salt", "salts", "text_", "copies", "copy", "size", "tie", "target", "taken", "spans", "span_doc", "cut", "start", "stays", "win_id", "keep_row", "keep_id", "kept", "group_size",
+    "digest", "best", "n", "batch", "class_id", "class_size", "component", "node", "bands", "score", "ids", "n_tokens", "round_trip", "__digest", "__copy", "_metadata", "Digest2", "file.name", "vec_id", "rank"]
+
+
+def clashing(spark, rows):
+    """Rows with extra columns named like every internal one; each holds its row's number."""
+    names = ", ".join(f"`{c}` bigint" for c in CLASH)
+    return spark.createDataFrame([(i, t, s, *[n] * len(CLASH)) for n, (i, t, s) in enumerate(rows)], f"doc_id bigint, text string, source string, {names}")
+
+
+def same_columns(out, docs):
+    """``out`` has the columns of ``docs``, and the extra ones of a row still agree."""
+    assert out.columns == docs.columns
+    got = out.collect()
+    for r in got:
+        assert len(set(r[3:])) == 1
+    return [(r[0], r[1], r[2], r[3]) for r in got]
+
+
 def words(rng, n, of=400):
     return [f"w{rng.randrange(of)}" for _ in range(n)]
 
@@ -104,6 +124,55 @@ def test_consistent_samples_estimate_weighted_similarity():
     assert hits == pytest.approx(trials, rel=0.12)
 
 
+def test_long_texts_do_not_share_draws():
+    rng, sampler = np.random.default_rng(1), near_dedup.Sampler()
+    s = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    hits = trials = 0
+    for _ in range(12):
+        w = rng.uniform(0.5, 3, len(s))
+        keep = rng.random(len(s)) < 0.9
+        j = w[keep].sum() / w.sum()
+        same = sum(x == y for x, y in zip(sampler.bands(s, w), sampler.bands(s[keep], w[keep]), strict=True))
+        hits, trials = hits + same, trials + near_dedup.BANDS * j**near_dedup.ROWS
+        s = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    assert hits == pytest.approx(trials, rel=0.15)
+    other = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    assert not set(sampler.bands(s, np.ones(len(s)))) & set(sampler.bands(other, np.ones(len(s))))
+
+
+def test_document_frequencies_are_counts(spark):
+    rows = [t for _, t, _ in copies(4)]
+    df, n = near_dedup.document_frequencies(spark.createDataFrame([(t,) for t in rows], "text string").repartition(7))
+    want = np.zeros(1 << near_dedup.DF_BITS, dtype=np.int64)
+    for t in rows:
+        want[np.unique(near_dedup.buckets(near_dedup.shingles(t or "")[0]))] += 1
+    assert n == len(rows) and (df == want).all()
+
+
+def weighted_sets(rows):
+    """TF-IDF weights of each text's shingles, counted here shingle by shingle, without hash buckets."""
+    counts = []
+    for _, t, _ in rows:
+        w = (t or "").split()
+        counts.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(s for c in counts for s in c)
+    idf = {s: np.log1p(min(len(rows) / k, 1 / near_dedup.COMMON)) for s, k in df.items()}
+    return [{s: k * idf[s] for s, k in c.items()} for c in counts]
+
+
+def test_weighted_similarity_equals_brute_force(spark):
+    rows = copies(5, 6, 4, 60)
+    df, n = near_dedup.document_frequencies(frame(spark, rows))
+    idf, sets = near_dedup.inverse_frequencies(df, n), weighted_sets(rows)
+    for a in range(0, len(rows) - 8, 3):
+        for b in range(a + 1, min(a + 6, len(rows) - 8)):
+            x, y = sets[a], sets[b]
+            low = sum(min(x.get(s, 0), y.get(s, 0)) for s in x)
+            plain = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+            got = near_dedup.jaccard(near_dedup.weights_of(rows[a][1], idf), near_dedup.weights_of(rows[b][1], idf))
+            assert got == pytest.approx(max(low / (sum(x.values()) + sum(y.values()) - low), plain), abs=1e-5)
+
+
 def test_one_of_each_keeps_rows_and_columns(spark):
     rows = copies()
     docs = frame(spark, rows)
@@ -131,6 +200,64 @@ def test_exact_index_over_batches(spark):
     assert index.add(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_a_batch_added_again_keeps_its_rows(spark):
+    rows = copies(2)
+    index = exact_dedup.fresh_index(spark, buckets=4)
+    index.add(frame(spark, rows[:10]), batch="a")
+    once = sorted((str(r.doc_id), r.kept, r.group_size) for r in index.add(frame(spark, rows), batch="b").collect())
+    again = sorted((str(r.doc_id), r.kept, r.group_size) for r in index.add(frame(spark, rows), batch="b").collect())
+    assert once == again and sum(x[1] for x in once) == len({t or "" for _, t, _ in rows} - {t for _, t, _ in rows[:10]})
+    assert index.table().count() == len({t or "" for _, t, _ in rows})
+    assert not any(r.kept for r in index.add(frame(spark, rows), batch="c").collect())
+
+
+def test_rows_keep_columns_of_any_name(spark, tmp_path):
+    rows = [*copies(3, 4, 4), (1005, "twice", "s0")]
+    clashing(spark, rows).write.parquet(str(tmp_path / "docs"))
+    for docs in (clashing(spark, rows), spark.read.parquet(str(tmp_path / "docs"))):
+        kept = same_columns(exact_dedup.distinct_rows(docs, exact_dedup.fresh_index(spark, buckets=4)), docs)
+        assert sorted(t or "" for _, t, _, _ in kept) == sorted({t or "" for _, t, _ in rows})
+        assert len(same_columns(near_dedup.one_of_each(docs), docs)) == len(brute_classes(rows))
+        mixed = Counter(same_columns(source_mixing.mixed_rows(docs), docs))
+        assert mixed.total() == sum(r.copies for r in source_mixing.mix(docs).collect())
+        assert len(same_columns(substring_dedup.remove_repeats(docs), docs)) == len(rows)
+        added = exact_dedup.fresh_index(spark, buckets=4).add(docs)
+        assert [c for c in added.columns if c not in ("digest", "keep_id", "group_size", "kept")] == [c for c in docs.columns if c not in ("text", "digest", "keep_id", "group_size", "kept")]
+        assert added.count() == len(rows)
+        assert near_dedup.near_duplicates(docs).count() == len(rows)
+
+
+def test_repeated_rows_stay_whole_and_in_their_source(spark):
+    rows = [(1, "one two three four", "a"), (1, "one two three four", "b"), (1, "one two three four", "b"), (None, "five six", None), (None, "five six", None)]
+    docs = frame(spark, rows)
+    want = Counter()
+    for r in source_mixing.mix(docs).collect():
+        want[(r.doc_id, r.source)] += r.copies
+    got = Counter((r.doc_id, r.source) for r in source_mixing.mixed_rows(docs).collect())
+    assert got == +want
+    passage = " ".join(f"Word{k} " + " ".join(f"x{k}y{n}" for n in range(10)) + "." for k in range(5))
+    texts = [r.text for r in substring_dedup.remove_repeats(frame(spark, [(7, passage, "a"), (7, passage, "a"), (None, passage, "a"), (None, None, "a")])).collect()]
+    assert sorted(t or "" for t in texts) == ["", "", "", passage] and None in texts
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, copies()).limit(0)
+    assert exact_dedup.distinct_rows(docs, exact_dedup.fresh_index(spark, buckets=4)).count() == 0
+    assert near_dedup.one_of_each(docs).count() == 0
+    assert source_mixing.mixed_rows(docs).count() == 0
+    assert substring_dedup.remove_repeats(docs).count() == 0
+
+
+def test_a_mix_that_does_not_converge_raises(spark):
+    docs = frame(spark, [(i, "w " * (1 + i % 37), "ab"[i % 2]) for i in range(400)])
+    import pyspark.sql.functions as F
+
+    h = docs.select("source", source_mixing.word_count(docs.text).alias("size")).groupBy("source", "size").agg(F.count("*").alias("docs"))
+    s = h.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("size")).alias("words"))
+    with pytest.raises(RuntimeError, match="converge"):
+        source_mixing.balance(h, source_mixing.targets(s), steps=1)
+
+
 def test_distinct_rows(spark):
     rows = copies(2)
     out = exact_dedup.distinct_rows(frame(spark, rows), exact_dedup.fresh_index(spark, buckets=4))
