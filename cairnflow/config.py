@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 
@@ -42,6 +43,7 @@ class RiskConfig:
 
     weights: dict[str, float] = field(default_factory=lambda: {"ml": 0.35, "anomaly": 0.25, "graph": 0.20, "correlation": 0.20, "known": 0.40})
     custom_weight: float = 0.20
+    custom_weights: dict[str, float] = field(default_factory=dict)
     boost: float = 1.15
     policy_boost: float = 1.10
     lone_anomaly_cap: float = 60.0
@@ -62,3 +64,37 @@ class GraphConfig:
     hub_out: int = 8
     hub_addresses: int = 50
     min_events: int = 2
+
+
+#: The forensic fusion's further signals.
+FORENSIC = RiskConfig(custom_weights={"network_obfuscation": 0.15, "temporal_burst": 0.10})
+
+
+@dataclass(frozen=True)
+class ForensicsConfig:
+    """The analysis of a dataset: model, folds, seeds and peers."""
+
+    trees: int = 300
+    folds: int = 5
+    small_folds: int = 2
+    small_labels: int = 200
+    max_negatives: int = 40_000
+    embedding_dims: int = 16
+    peer_groups: int = 8
+    transfer_tx: int = 8_000
+    seed_fraction: float = 0.0
+    seed: int = 42
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Folders, from the environment: CAIRNFLOW_DATA, CAIRNFLOW_MODELS and CAIRNFLOW_OUT."""
+
+    data: str = "data"
+    models: str = "models"
+    out: str = "out"
+
+    @classmethod
+    def from_env(cls) -> Settings:
+        plain = cls()
+        return cls(*(os.environ.get(f"CAIRNFLOW_{k.upper()}", getattr(plain, k)) for k in ("data", "models", "out")))

@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "cairnflow-shared")
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     """(file system, path) of Hadoop."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -38,7 +38,7 @@ def run_dir(spark: SparkSession) -> str:
     """This application's own folder, which goes when the driver ends."""
     path = f"{shared_dir(spark)}/cairnflow/{spark.sparkContext.applicationId}"
     if path not in _noted:
-        fs, at = _files(spark, path)
+        fs, at = files_of(spark, path)
         fs.mkdirs(at)
         fs.deleteOnExit(at)
         _noted.add(path)
@@ -59,7 +59,7 @@ def release(df: DataFrame | None) -> None:
     """Remove the files of a stashed frame that nothing will read again; any other frame is left alone."""
     path = getattr(df, "_stashed_at", None)
     if path:
-        fs, at = _files(df.sparkSession, path)
+        fs, at = files_of(df.sparkSession, path)
         fs.delete(at, True)
 
 

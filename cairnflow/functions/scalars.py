@@ -114,17 +114,33 @@ def humanize(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%.0f s", seconds)).when(seconds < 3600, unit(60, "min")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
 
 
+def temporal_burst(peak_events: Column, n_events: Column, burstiness: Column) -> Column:
+    """Activity packed into one hour (from five events on) and uneven gaps, in [0, 1]."""
+    packed = F.when(n_events >= 5, F.least(F.lit(1.0), peak_events / 10)).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * packed + 0.4 * F.greatest(F.lit(0.0), burstiness)))
+
+
+def escape_markup(text: Column) -> Column:
+    """Text for XML and HTML: the five marked characters as entities, and without the control characters that XML refuses."""
+    out = F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
 def digest(record: Column) -> Column:
     """SHA-256 of a struct as JSON; name its fields in alphabetical order for a canonical form."""
     return F.sha2(F.to_json(record), 256)
 
 
-def parse_time(c: Column) -> Column:
-    """A timestamp in seconds from a string: epoch seconds, epoch milliseconds (1e11 and more) or ISO and common date forms; naive
-    times are UTC; null for anything else."""
+def parse_time(c: Column, unit: float | None = None) -> Column:
+    """A timestamp in seconds from a string: an epoch in parts of a second (``unit`` of them; without one, epochs of 1e11 and more are
+    milliseconds) or ISO and common date forms; naive times are UTC; null for anything else."""
     number = c.try_cast("double")
     forms = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd"]
     text = F.coalesce(c.try_cast("timestamp"), *[F.try_to_timestamp(c, F.lit(f)) for f in forms]).cast("double")
+    if unit is not None:
+        return F.when(number.isNotNull(), number / unit).otherwise(text)
     return F.when(F.abs(number) >= 1e11, number / 1000).when(number.isNotNull(), number).otherwise(text)
 
 

@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def normalised(obs: DataFrame) -> DataFrame:
+    """(tx, ts, src_ip, dst_ip, src_port, dst_port, country, asn, is_synthetic) of observations: trimmed addresses, upper-case countries, empty
+    where unknown, and always marked as synthetic, since observations are generated."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return obs.select(
+        F.col("tx").cast("bigint").alias("tx"), F.col("ts").cast("double").alias("ts"), text("src_ip").alias("src_ip"), text("dst_ip").alias("dst_ip"), F.col("src_port").try_cast("int").alias("src_port"), F.col("dst_port").try_cast("int").alias("dst_port"),
+        F.upper(text("country")).alias("country"), F.coalesce(F.col("asn").try_cast("bigint"), F.lit(0)).alias("asn"), F.lit(True).alias("is_synthetic"),
+    )
+
+
 def tx_ips(obs: DataFrame) -> DataFrame:
     """(tx, ip, role, n, first_ts): the source of a transaction's earliest observation is its origin, other addresses relay."""
     first = obs.groupBy("tx").agg(F.min_by("src_ip", F.struct("ts", "obs")).alias("origin"))

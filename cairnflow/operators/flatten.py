@@ -41,8 +41,9 @@ def derive_fee(fee: Column, n_in: Column, total_in: Column, total_out: Column) -
     return F.coalesce(fee, F.when(n_in == 0, 0.0).otherwise(F.greatest(total_in - total_out, F.lit(0.0))))
 
 
-def fingerprint(tx: DataFrame, bucket: Column, key: str) -> DataFrame:
-    """(bucket, n, digest): SHA-256 over the sorted keys of each bucket. Digests of buckets compare datasets without
-    gathering all keys in one place."""
-    keys = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")))
-    return tx.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sha2(keys, 256).alias("digest"))
+def fingerprint(rows: DataFrame, bucket: Column, *parts: Column) -> DataFrame:
+    """(bucket, n, digest): SHA-256 over the count and the sum of 48-bit hashes of each bucket's rows. The sum doesn't depend on the
+    order of rows and is combined before the shuffle, so a bucket of any size costs one row a task."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("decimal(38,0)")
+    sums = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("total"))
+    return sums.select("bucket", "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("total").cast("string")), 256).alias("digest"))

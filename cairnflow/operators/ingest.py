@@ -11,10 +11,16 @@ REQUIRED = ("timestamp", "txid", "input_addresses", "output_addresses", "input_a
 OPTIONAL = {"src_ip": "", "dst_ip": "", "src_port": None, "dst_port": None, "fee": None, "script_type": "", "geo_country": "", "asn": None}
 #: Names under which columns arrive.
 ALIASES = {
-    "time": "timestamp", "ts": "timestamp", "datetime": "timestamp", "date": "timestamp", "tx_hash": "txid", "hash": "txid", "transaction_id": "txid", "tx_id": "txid",
-    "inputs": "input_addresses", "outputs": "output_addresses", "input_address": "input_addresses", "output_address": "output_addresses", "input_values": "input_amounts", "output_values": "output_amounts",
-    "source_ip": "src_ip", "destination_ip": "dst_ip", "dest_ip": "dst_ip", "source_port": "src_port", "destination_port": "dst_port", "fees": "fee", "country": "geo_country", "as_number": "asn",
+    "time": "timestamp", "ts": "timestamp", "datetime": "timestamp", "block_time": "timestamp", "first_seen": "timestamp", "date": "timestamp",
+    "tx_id": "txid", "tx_hash": "txid", "txhash": "txid", "hash": "txid", "transaction_id": "txid",
+    "source_ip": "src_ip", "src_address": "src_ip", "destination_ip": "dst_ip", "dest_ip": "dst_ip", "source_port": "src_port", "destination_port": "dst_port", "dest_port": "dst_port",
+    "inputs": "input_addresses", "input_addrs": "input_addresses", "input_wallets": "input_addresses", "input_address": "input_addresses",
+    "outputs": "output_addresses", "output_addrs": "output_addresses", "output_wallets": "output_addresses", "output_address": "output_addresses",
+    "input_values": "input_amounts", "output_values": "output_amounts", "fee_btc": "fee", "fees": "fee", "script": "script_type",
+    "country": "geo_country", "geo": "geo_country", "as_number": "asn",
 }
+#: Epochs whose median is above this are in milliseconds.
+MILLISECONDS_ABOVE = 1e11
 
 
 def canonical(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -37,10 +43,17 @@ def canonical(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return out, renames
 
 
-def parse_rows(rows: DataFrame) -> DataFrame:
-    """Raw string rows with parsed cells and drop_reason: the first check that fails, null for rows that stay."""
+def epoch_unit(rows: DataFrame, column: str = "timestamp") -> float:
+    """Parts of a second in the column's epochs, 1 or 1000: one unit for the whole column, as its median says."""
+    median = rows.agg(F.percentile_approx(F.abs(F.col(column).try_cast("double")), F.lit(0.5), F.lit(10_000)).alias("m")).first()["m"]
+    return 1000.0 if median is not None and median > MILLISECONDS_ABOVE else 1.0
+
+
+def parse_rows(rows: DataFrame, unit: float | None = None) -> DataFrame:
+    """Raw string rows with parsed cells and drop_reason: the first check that fails, null for rows that stay. ``unit`` is that of the
+    column's epochs (``epoch_unit``); without one, each epoch tells its own."""
     out = rows.withColumns({
-        "ts": parse_time(F.col("timestamp")),
+        "ts": parse_time(F.col("timestamp"), unit),
         "ia": parse_list(F.col("input_addresses")), "oa": parse_list(F.col("output_addresses")),
         "iv": parse_numbers(F.col("input_amounts")), "ov": parse_numbers(F.col("output_amounts")),
     })

@@ -12,7 +12,7 @@ SUFFIXES = (".csv", ".tsv", ".txt", ".jsonl", ".ndjson", ".json", ".xml", ".parq
 WRAPPERS = ("transactions", "records", "data", "items")
 
 
-def _strings(df: DataFrame) -> DataFrame:
+def as_strings(df: DataFrame) -> DataFrame:
     """Scalars as strings and lists as JSON strings, so that all formats meet the same parser."""
     cols = []
     for f in df.schema.fields:
@@ -27,21 +27,24 @@ def _strings(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_strings = as_strings
+
+
 def read_raw(spark: SparkSession, path: str, row_tag: str = "transaction") -> DataFrame:
     """Rows of a raw file as strings. The suffix names the format; an unknown one raises ValueError, a missing path Spark's error."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in (".csv", ".tsv", ".txt"):
         return spark.read.option("header", True).option("sep", "\t" if suffix == ".tsv" else ",").option("quote", '"').option("escape", '"').csv(path)
     if suffix in (".jsonl", ".ndjson"):
-        return _strings(spark.read.json(path))
+        return as_strings(spark.read.json(path))
     if suffix == ".json":
         df = spark.read.option("multiLine", True).json(path)
         wrapper = next((w for w in WRAPPERS if w in df.columns and isinstance(df.schema[w].dataType, ArrayType)), None)
-        return _strings(df.select(F.explode(wrapper).alias("x")).select("x.*") if wrapper else df)
+        return as_strings(df.select(F.explode(wrapper).alias("x")).select("x.*") if wrapper else df)
     if suffix == ".xml":
-        return _strings(spark.read.format("xml").option("rowTag", row_tag).load(path))
+        return as_strings(spark.read.format("xml").option("rowTag", row_tag).load(path))
     if suffix == ".parquet":
-        return _strings(spark.read.parquet(path))
+        return as_strings(spark.read.parquet(path))
     raise ValueError(f"unsupported file type {suffix or path!r}; supported: {', '.join(SUFFIXES)}")
 
 
@@ -66,6 +69,16 @@ def read_all(spark: SparkSession, folder: str, specs: dict[str, list[str]]) -> d
     return out
 
 
+def read_table_or_object(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file that is a list of records (a row each) or one record (one row); types as read."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """An XML file as a table: a row for each ``row_tag`` element, types as read."""
+    return spark.read.format("xml").option("rowTag", row_tag).load(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a list file without blanks and comments."""
     return spark.read.text(path).select(F.trim("value").alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("#"))
@@ -99,6 +112,14 @@ def write_xml(rows: DataFrame, path: str) -> None:
     rows.write.format("xml").option("rootTag", "transactions").option("rowTag", "transaction").mode("overwrite").save(path)
 
 
+def write_truth(rows: DataFrame, path: str) -> None:
+    """CSV of the planted labels (addr, owner, illicit, scenario, campaign) of generated rows; a frame without them is refused."""
+    missing = {"addr", "illicit", "scenario"} - set(rows.columns)
+    if missing:
+        raise ValueError(f"no ground truth: {sorted(missing)} are missing")
+    write_csv(rows, path)
+
+
 def write_synthetic(rows: DataFrame, path: str) -> None:
     """CSV of generated observations; rows not marked as synthetic are refused."""
     if rows.where(~F.coalesce("is_synthetic", F.lit(False))).limit(1).count():

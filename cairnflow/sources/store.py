@@ -42,6 +42,15 @@ class CaseStore:
     def put_case(self, case_id: str, title: str, entities: list[int], status: str = "open") -> None:
         self._append("cases", (self._read("cases", self.CASES).count(), case_id, title, status, entities), self.CASES)
 
+    STATUS = "id bigint, alert_id string, status string"
+
+    def set_status(self, alert_id: str, status: str) -> None:
+        self._append("statuses", (self._read("statuses", self.STATUS).count(), alert_id, status), self.STATUS)
+
+    def statuses(self) -> DataFrame:
+        """(alert_id, status, n_changes): the last status of each alert that was given one."""
+        return self._read("statuses", self.STATUS).groupBy("alert_id").agg(F.max_by("status", "id").alias("status"), F.count(F.lit(1)).alias("n_changes"))
+
     def cases(self) -> DataFrame:
         last = F.max_by(F.struct("title", "status", "entities"), "id").alias("x")
         return self._read("cases", self.CASES).groupBy("case_id").agg(last).select("case_id", "x.*")
