@@ -66,6 +66,88 @@ def hops(edges: DataFrame, seeds: DataFrame, limit: int = C.max_hops, absorbing:
     return seen
 
 
+def gated(near: DataFrame, rank: DataFrame, seeds: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(node, hops, nearest, risk, is_seed) of the nodes that a walk from the seeds reaches within the hops: 1 for seeds, 0 for hubs, else
+    the rank over that of the median seed, 1 at most."""
+    typical = rank.join(seeds, "node").agg(F.percentile("rank", F.lit(0.5))).first()[0] or 0.0
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("rank", F.lit(0.0)) / typical)) if typical > 0 else F.lit(0.0)
+    rows = near.join(rank, "node", "left").join(hubs.select("node", F.lit(True).alias("hub")), "node", "left")
+    risk = F.when(F.col("hops") == 0, 1.0).when(F.col("hub").isNotNull(), 0.0).otherwise(scaled)
+    return rows.select("node", "hops", "nearest", risk.alias("risk"), (F.col("hops") == 0).alias("is_seed"))
+
+
+def seed_risk(flow: DataFrame, seeds: DataFrame, hubs: DataFrame, c: GraphConfig = C, steps: int | None = None) -> DataFrame:
+    """(node, hops, nearest, risk, is_seed): risk that spreads from known nodes along the strongest flows."""
+    walk = stash(normalised(adjacency(flow, c)), "walk")
+    rank = stash(random_walk(walk, seeds, hubs, c, steps), "rank")
+    return gated(hops(walk, seeds, c.max_hops, hubs), rank, seeds, hubs)
+
+
+def structural_indicator(counts: DataFrame) -> DataFrame:
+    """(node, x): 1 for entities of (node, peel_chain_txs, layering_chain_txs, dust_spray_txs) that took part in any of the patterns."""
+    hit = (F.col("peel_chain_txs") > 0) | (F.col("layering_chain_txs") > 0) | (F.col("dust_spray_txs") > 0)
+    return counts.select("node", F.coalesce(hit, F.lit(False)).cast("double").alias("x"))
+
+
+def neighbourhood(edges: DataFrame, centre, radius: int = 2, max_nodes: int = 60, hubs: DataFrame | None = None) -> DataFrame:
+    """(node, hops): the centre and, step by step, the neighbours of most value either way while there is room (ties to the smaller
+    node). Hubs are kept but not expanded, the centre excepted. ``edges`` are summed ones (src, dst, amount); at most ``max_nodes``
+    nodes are taken from the cluster."""
+    kept, front = {centre: 0}, [centre]
+    stop = set() if hubs is None else {r["node"] for r in hubs.join(neighbour_nodes(edges, centre), "node", "left_semi").limit(max_nodes).collect()}
+    for step in range(1, radius + 1):
+        room = max_nodes - len(kept)
+        front = [n for n in front if n == centre or n not in stop]
+        if room <= 0 or not front:
+            break
+        out = edges.where(F.col("src").isin(front)).select(F.col("dst").alias("node"), "amount")
+        into = edges.where(F.col("dst").isin(front) & ~F.col("src").isin(front)).select(F.col("src").alias("node"), "amount")
+        new = out.unionByName(into).where(~F.col("node").isin(list(kept))).groupBy("node").agg(F.sum("amount").alias("amount")).orderBy(F.desc("amount"), "node").limit(room)
+        if hubs is not None:
+            new = new.join(hubs.select("node", F.lit(True).alias("hub")), "node", "left")
+            rows = new.collect()
+            stop |= {r["node"] for r in rows if r["hub"]}
+        else:
+            rows = new.collect()
+        front = [r["node"] for r in rows]
+        kept |= dict.fromkeys(front, step)
+    return edges.sparkSession.createDataFrame(list(kept.items()), f"node {edges.schema['src'].dataType.simpleString()}, hops int")
+
+
+def neighbour_nodes(edges: DataFrame, node) -> DataFrame:
+    return edges.where(F.col("src") == node).select(F.col("dst").alias("node")).unionByName(edges.where(F.col("dst") == node).select(F.col("src").alias("node"))).distinct()
+
+
+def path_edges(edges: DataFrame, path: list | None) -> DataFrame:
+    """(step, src, dst, relationship, is_synthetic, confidence): the first edge (smallest relationship) between neighbouring nodes of a
+    path; no rows without a path."""
+    steps = list(enumerate(zip(path or [], (path or [])[1:], strict=False)))
+    wanted = edges.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in steps], f"step int, src {edges.schema['src'].dataType.simpleString()}, dst {edges.schema['dst'].dataType.simpleString()}")
+    found = edges.join(F.broadcast(wanted), ["src", "dst"])  # a row for each step of one path
+    first = F.min(F.struct("relationship", "is_synthetic", "confidence")).alias("x")
+    return found.groupBy("step", "src", "dst").agg(first).select("step", "src", "dst", "x.*")
+
+
+def scale_free(spark, n: int, m: int = 8, seed: int = 3) -> DataFrame:
+    """(src, dst): a graph of ``n`` nodes grown by preferential attachment, each node with ``m`` edges to earlier ones (fewer where
+    draws repeat). Every edge is drawn on its own: its end is the node at a random earlier place in the list of all edge ends, and
+    a place that is itself drawn is drawn again from its own hash, so no edge waits for another."""
+    draw = lambda at: F.pmod(F.xxhash64(F.lit(seed), at), at)  # noqa: E731  a place before ``at``
+    e = spark.range(m, n * m).select(F.col("id").alias("e"))
+    start = draw(F.col("e") * 2 + 1)
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, lambda p, _: F.when(p % 2 == 1, draw(p)).otherwise(p))
+    rows = e.select(F.floor(F.col("e") / m).alias("src"), F.floor(place / 2 / m).alias("dst"))
+    return rows.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+
+
+def degree_stats(edges: DataFrame) -> DataFrame:
+    """(n_nodes, n_edges, mean_degree, max_degree, density) of an undirected simple graph."""
+    deg = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    s = deg.agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("d") / 2).cast("bigint").alias("n_edges"), F.avg("d").alias("mean_degree"), F.max("d").alias("max_degree"))
+    n = F.col("n_nodes")
+    return s.withColumn("density", F.when(n > 1, 2 * F.col("n_edges") / (n * (n - 1))).otherwise(0.0))
+
+
 def aggregated_edges(flow: DataFrame) -> DataFrame:
     return flow.groupBy("src", "dst").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n_tx"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -90,6 +172,11 @@ def money_trail(flow: DataFrame, start, limit: int = 15, hubs: DataFrame | None
     return flow.sparkSession.createDataFrame(out, "step int, src bigint, dst bigint, amount double, ts bigint")
 
 
+def _nodes(edges: DataFrame, *nodes) -> DataFrame:
+    """(node) of the type that the edges' ends have."""
+    return edges.sparkSession.createDataFrame([(n,) for n in nodes], f"node {edges.schema['src'].dataType.simpleString()}")
+
+
 def incident(edges: DataFrame, node, relationship: str | None = None) -> DataFrame:
     """Outgoing edges, then incoming ones; a self loop appears twice."""
     e = edges if relationship is None else edges.where(F.col("relationship") == relationship)
@@ -168,7 +255,7 @@ def shortest_path(edges: DataFrame, source, target, limit: int = 20) -> list | N
     if source == target:
         return [source]
     e = edges.select("src", "dst").distinct()
-    seen = edges.sparkSession.createDataFrame([(source, None, 0)], "node bigint, prev bigint, d int")
+    seen = _nodes(edges, source).select("node", F.lit(None).cast(edges.schema["src"].dataType).alias("prev"), F.lit(0).alias("d"))
     for d in range(1, limit + 1):
         new = e.join(seen.where(F.col("d") == d - 1).select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("prev")).join(seen, "node", "left_anti")
         new = stash(new.select("node", "prev", F.lit(d).alias("d")), "front")
@@ -197,7 +284,15 @@ def simple_paths(edges: DataFrame, source, target, cutoff: int = 6) -> DataFrame
 def ego(edges: DataFrame, centre, radius: int = 1) -> DataFrame:
     """(node, hops) within ``radius`` steps of either direction."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return hops(both, edges.sparkSession.createDataFrame([(centre,)], "node bigint"), radius).select("node", "hops")
+    return hops(both, _nodes(edges, centre), radius).select("node", "hops")
+
+
+def first_nodes(edges: DataFrame, centre, radius: int = 1, max_nodes: int = 100, relationship: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((node, hops), edges): the first ``max_nodes`` nodes around a centre, nearest first, and the edges among them; a relationship
+    filters edges, not nodes."""
+    nodes = ego(edges, centre, radius).orderBy("hops", "node").limit(max_nodes)
+    inside = induced(edges, nodes)
+    return nodes, inside if relationship is None else inside.where(F.col("relationship") == relationship)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -215,17 +310,19 @@ def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
     import pandas as pd
 
     e = edges.where("src <> dst").select("src", "dst").distinct()
-    pairs = [(r["src"], r["dst"]) for r in e.limit(2_000_001).collect()]
-    if len(pairs) > 2_000_000:
+    e = stash(e, "simple")
+    if e.limit(2_000_001).count() > 2_000_000:
         raise ValueError("betweenness needs a bounded subgraph of two million edges at most")
-    out: dict = {}
-    for a, b in pairs:
-        out.setdefault(a, []).append(b)
+    ends: dict = {}
+    for r in e.toLocalIterator():
+        ends.setdefault(r["src"], []).append(r["dst"])
+    shared = edges.sparkSession.sparkContext.broadcast(ends)  # two million edges at most, as counted
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     n = nodes.count()
     picked = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("node")).limit(sources)
 
     def one(frames):
+        out = shared.value
         for f in frames:
             total: dict = {}
             for s in f["node"]:

@@ -23,7 +23,14 @@ def vectors(rows: DataFrame, key: str, array: str, positive: Column) -> DataFram
 
 
 def fold_of(group: Column, folds: int) -> Column:
-    return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+    """Fold of a group from a hash of its name, so that all rows of a group share a fold on any cluster."""
+    return (F.conv(F.substring(F.md5(group.cast("string")), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
+
+
+def assign_folds(rows: DataFrame, folds: int, key: str = "entity", campaign: str = "campaign") -> DataFrame:
+    """``rows`` with fold: rows of a campaign (0 or more) share one, others have one by their key."""
+    own, shared = F.concat(F.lit("e"), F.col(key).cast("string")), F.concat(F.lit("c"), F.col(campaign).cast("string"))
+    return rows.withColumn("fold", fold_of(F.when(F.coalesce(campaign, F.lit(-1)) >= 0, shared).otherwise(own), folds))
 
 
 def balanced(train: DataFrame) -> DataFrame:
@@ -60,6 +67,35 @@ def cross_fitted(rows: DataFrame, trees: int = 100, folds: int = 2, group: str =
     return iso.transform(known).select("id", "fold", "p", F.col("prediction").alias("calibrated")).unionByName(out.where(F.col("p").isNull()).select("id", "fold", "p", F.col("p").alias("calibrated")))
 
 
+def probability(model, rows: DataFrame) -> DataFrame:
+    """(id, p) of (id, features)."""
+    return model.transform(rows).select("id", vector_to_array("probability")[1].alias("p"))
+
+
+def out_of_fold(rows: DataFrame, trees: int = 100, max_negatives: int = 40_000) -> DataFrame:
+    """(id, fold, label, p, calibrated) of (id, features, label, fold), labels partly null: each fold is scored, labelled or not, by a forest
+    of the labelled rows of the others; an isotonic fit of the labelled rows' scores calibrates. A fold whose training rows hold
+    fewer than two positives gets null."""
+    rows = stash(rows, "folds")
+    out = None
+    for k in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
+        train, test = rows.where((F.col("fold") != k) & F.col("label").isNotNull()), rows.where(F.col("fold") == k)
+        if train.where("label = 1").limit(2).count() < 2:
+            part = test.select("id", "fold", "label", F.lit(None).cast("double").alias("p"))
+        else:
+            part = forest(negatives_capped(train, max_negatives), trees).transform(test).select("id", "fold", "label", vector_to_array("probability")[1].alias("p"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.select("id", "fold", "label", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("calibrated"))
+    out = stash(out, "oof")
+    known = out.where("p is not null and label is not null")
+    if not known.take(1):
+        return out.withColumn("calibrated", F.col("p"))
+    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(known)
+    some = iso.transform(out.where("p is not null")).select("id", "fold", "label", "p", F.col("prediction").alias("calibrated"))
+    return some.unionByName(out.where("p is null").withColumn("calibrated", F.col("p")))
+
+
 def tree_spread(model, rows: DataFrame) -> DataFrame:
     """(id, mean, low, high): 90 % interval from the spread of the trees' votes."""
     votes = F.array(*[F.lit(0.0)])
@@ -77,22 +113,32 @@ def tree_spread(model, rows: DataFrame) -> DataFrame:
     return scored.select("id", mean.alias("mean"), clip(mean - 1.645 * spread).alias("low"), clip(mean + 1.645 * spread).alias("high"))
 
 
-def occlusion(model, rows: DataFrame, medians: list[float], names: list[str], top: int = 6, least: float = 0.005) -> DataFrame:
-    """(id, feature, effect): how much the probability falls when a feature is set to its median; the largest of each row."""
+def occlusion(model, rows: DataFrame, medians: list[float], names: list[str], top: int = 6, least: float = 0.005, families: dict[str, list[str]] | None = None) -> DataFrame:
+    """(id, feature, effect): how much the probability falls when a feature is set to its median; the largest of each row. With
+    ``families`` (name: its features), whole families are set to their medians instead."""
     x = vector_to_array("features")
     base = model.transform(rows).select("id", x.alias("x"), vector_to_array("probability")[1].alias("p"))
-    masked = base.select("id", "p", F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("i"), "x")
+    groups = {n: [n] for n in names} if families is None else families
+    at = {n: i for i, n in enumerate(names)}
+    sets = F.array(*[F.struct(F.lit(k).alias("feature"), F.array(*[F.lit(at[n]) for n in v]).alias("places")) for k, v in groups.items()])
+    masked = base.select("id", "p", F.explode(sets).alias("g"), "x")
     med = F.array(*[F.lit(float(m)) for m in medians])
-    masked = masked.select("id", "p", "i", array_to_vector(F.transform("x", lambda v, j: F.when(j == F.col("i"), F.element_at(med, j + 1)).otherwise(v))).alias("features"))
-    got = model.transform(masked).select("id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("feature"), (F.col("p") - vector_to_array("probability")[1]).alias("effect"))
+    hidden = F.transform("x", lambda v, j: F.when(F.array_contains(F.col("g")["places"], j), F.element_at(med, j + 1)).otherwise(v))
+    masked = masked.select("id", "p", F.col("g")["feature"].alias("feature"), array_to_vector(hidden).alias("features"))
+    got = model.transform(masked).select("id", "feature", (F.col("p") - vector_to_array("probability")[1]).alias("effect"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("id").orderBy(F.desc(F.abs("effect")), "feature")
     return got.where(F.abs("effect") >= least).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).drop("rn")
 
 
-def importances(model, names: list[str]) -> list[tuple[str, float]]:
-    return sorted(zip(names, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+def importances(model, names: list[str], prefix: str | None = None, group: str = "embedding") -> list[tuple[str, float]]:
+    """(feature, importance), largest first; features that begin with ``prefix`` are summed as ``group``."""
+    sums: dict[str, float] = {}
+    for n, v in zip(names, model.featureImportances.toArray().tolist(), strict=True):
+        key = group if prefix and n.startswith(prefix) else n
+        sums[key] = sums.get(key, 0.0) + v
+    return sorted(sums.items(), key=lambda x: (-x[1], x[0]))
 
 
 class IsolationForest:
@@ -132,22 +178,30 @@ class IsolationForest:
         return 2 ** (-out / len(self.trees) / max(self.average(self.size), 1e-9))
 
 
-def isolation_scores(rows: DataFrame, trees: int = 200, sample_rows: int = 4096) -> DataFrame:
-    """(id, anomaly, percentile) of (id, x). Trees are grown on the driver from a bounded sample chosen by hash."""
-    from cairnflow.operators.metrics import percentile_rank
-
-    n = rows.count()
-    take = rows if n <= sample_rows else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
+def isolation_transform(train: DataFrame, rows: DataFrame, trees: int = 200, sample_rows: int = 4096, seed: int = 42) -> DataFrame:
+    """(id, score) of (id, x). Trees are grown on the driver from a sample of about ``sample_rows`` training rows at most, chosen by hash;
+    each tree takes 256 of them."""
+    n = train.count()
+    take = train if n <= sample_rows else train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
     sample = np.array([r["x"] for r in take.orderBy("id").select("x").collect()])
-    model = IsolationForest(sample, trees)
+    kind = rows.schema["id"].dataType.simpleString()
+    if not len(sample):
+        return rows.select("id", F.lit(0.5).alias("score"))
+    model = IsolationForest(sample, trees, seed=seed)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 yield pd.DataFrame({"id": f["id"], "score": model.score(np.stack(f["x"].to_numpy()))})
 
-    kind = dict(rows.dtypes)["id"]
-    scored = stash(rows.select("id", "x").mapInPandas(score, f"id {kind}, score double"), "isolation")
+    return rows.select("id", "x").mapInPandas(score, f"id {kind}, score double")
+
+
+def isolation_scores(rows: DataFrame, trees: int = 200, sample_rows: int = 4096) -> DataFrame:
+    """(id, anomaly, percentile) of (id, x)."""
+    from cairnflow.operators.metrics import percentile_rank
+
+    scored = stash(isolation_transform(rows, rows, trees, sample_rows), "isolation")
     return percentile_rank(scored).select("id", F.col("score").alias("anomaly"), "percentile")
 
 
@@ -212,14 +266,28 @@ def ppmi_embedding(flow: DataFrame, dims: int = 16, rounds: int = 8, seed: int =
     return nodes.join(x, "node", "left").select("node", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) * float(s) for c, s in zip(cols, scale, strict=True)]).alias("embedding"))
 
 
-def peer_groups(rows: DataFrame, key: str, columns: list[str], k: int = 8, clip: float = 0.005, seed: int = 42) -> DataFrame:
-    """(key, peer_group) by k-means on clipped, standardised features."""
-    ends = rows.agg(*[F.percentile_approx(c, F.array(F.lit(clip), F.lit(1 - clip)), F.lit(10_000)).alias(c) for c in columns]).first()
-    clipped = rows.select(key, *[F.greatest(F.lit(float(ends[c][0])), F.least(F.lit(float(ends[c][1])), F.col(c))).alias(c) for c in columns])
+def peer_groups(rows: DataFrame, key: str, columns: list[str], k: int = 8, clip: float = 0.005, seed: int = 42, active: Column | None = None, top: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((key, peer_group), (peer_group, size, distinguishing)): k-means on clipped, standardised features of the active rows; -1 for
+    the others, and for all where there are fewer than five a group. distinguishing has the ``top`` features (feature, z, direction)
+    farthest from the mean."""
+    rows = stash(rows.withColumn("__on", F.lit(True) if active is None else F.coalesce(active, F.lit(False))), "peers")
+    on, spark = rows.where("__on"), rows.sparkSession
+    if on.limit(k * 5).count() < k * 5:
+        none = spark.createDataFrame([], "peer_group int, size bigint, distinguishing array<struct<feature:string,z:double,direction:string>>")
+        return rows.select(key, F.lit(-1).alias("peer_group")), none
+    ends = on.agg(*[F.percentile_approx(c, F.array(F.lit(clip), F.lit(1 - clip)), F.lit(10_000)).alias(c) for c in columns]).first()
+    clipped = on.select(key, *[F.greatest(F.lit(float(ends[c][0])), F.least(F.lit(float(ends[c][1])), F.col(c).cast("double"))).alias(c) for c in columns])
     raw = VectorAssembler(inputCols=columns, outputCol="raw").transform(clipped)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
+    scaled = stash(StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw).select(key, "features"), "scaled")
     model = KMeans(k=k, seed=seed, maxIter=20).fit(scaled)
-    return model.transform(scaled).select(key, F.col("prediction").alias("peer_group"))
+    found = stash(model.transform(scaled).select(key, F.col("prediction").alias("peer_group"), "features"), "groups")
+    names = F.array(*[F.lit(c) for c in columns])
+    each = found.select("peer_group", F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("peer_group", "i").agg(F.avg("v").alias("z"))
+    item = F.struct((-F.abs("z")).alias("o"), F.element_at(names, F.col("i") + 1).alias("feature"), "z", F.when(F.col("z") > 0, "high").otherwise("low").alias("direction"))
+    described = each.groupBy("peer_group").agg(F.slice(F.array_sort(F.collect_list(item)), 1, top).alias("x"))  # one item a column
+    described = found.groupBy("peer_group").agg(F.count(F.lit(1)).alias("size")).join(described, "peer_group")
+    described = described.select("peer_group", "size", F.transform("x", lambda i: F.struct(i["feature"].alias("feature"), i["z"].alias("z"), i["direction"].alias("direction"))).alias("distinguishing"))
+    return rows.select(key).join(found.select(key, "peer_group"), key, "left").select(key, F.coalesce("peer_group", F.lit(-1)).alias("peer_group")), described
 
 
 def rule_score(*flags: Column) -> Column:

@@ -6,20 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.config import GraphConfig, RiskConfig
-from cairnflow.functions.scalars import bind, seed_boost, tier, tier_rank
+from cairnflow.functions.scalars import bind, noisy_or, seed_boost, tier, tier_rank
 
 C = RiskConfig()
 SIGNALS = ("ml", "anomaly", "graph", "correlation", "known")
 
 
 def weighted_mean(c: RiskConfig = C, custom: Column | None = None) -> Column:
-    """Weighted mean of the signals that are there, 0 without any. ``custom`` is a map of further signals, clamped to [0, 1]."""
+    """Weighted mean of the signals that are there, 0 without any. ``custom`` is a map of further signals, clamped to [0, 1]; each
+    weighs what ``custom_weights`` says of its name, else ``custom_weight``."""
     total = sum((F.when(F.col(s).isNotNull(), F.col(s) * c.weights[s]).otherwise(0.0) for s in SIGNALS), F.lit(0.0))
     weight = sum((F.when(F.col(s).isNotNull(), F.lit(c.weights[s])).otherwise(0.0) for s in SIGNALS), F.lit(0.0))
     if custom is not None:
-        values = F.filter(F.map_values(custom), lambda v: v.isNotNull())
-        total = total + F.coalesce(F.aggregate(values, F.lit(0.0), lambda s, v: s + c.custom_weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))), F.lit(0.0))
-        weight = weight + F.coalesce(F.size(values), F.lit(0)) * c.custom_weight
+        weigh = lambda k: F.lit(c.custom_weight)
+        if c.custom_weights:
+            known = F.create_map(*[F.lit(x) for kv in c.custom_weights.items() for x in kv])
+            weigh = lambda k: F.coalesce(F.element_at(known, k), F.lit(c.custom_weight))
+        values = F.filter(F.map_entries(custom), lambda e: e["value"].isNotNull())
+        total = total + F.coalesce(F.aggregate(values, F.lit(0.0), lambda s, e: s + weigh(e["key"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["value"]))), F.lit(0.0))
+        weight = weight + F.coalesce(F.aggregate(values, F.lit(0.0), lambda s, e: s + weigh(e["key"])), F.lit(0.0))
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
@@ -48,9 +53,9 @@ def score_column(policy: str = "weighted", c: RiskConfig = C, custom: Column | N
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)
 
 
-def fuse(rows: DataFrame, policy: str = "weighted", c: RiskConfig = C) -> DataFrame:
-    """``rows`` with score, tier, and is_synthetic (a correlation signal takes part)."""
-    out = rows.withColumn("score", score_column(policy, c))
+def fuse(rows: DataFrame, policy: str = "weighted", c: RiskConfig = C, custom: Column | None = None) -> DataFrame:
+    """``rows`` with score, tier, and is_synthetic (a correlation signal takes part). ``custom`` is a map of further signals."""
+    out = rows.withColumn("score", score_column(policy, c, custom))
     return out.withColumn("tier", bind(F.col("score"), lambda x: tier(x, c))).withColumn("is_synthetic", F.col("correlation").isNotNull())
 
 
@@ -160,6 +165,40 @@ def reason_chips() -> Column:
     return F.filter(all_of, lambda x: x.isNotNull())
 
 
+def forensic_chips() -> Column:
+    """Why an entity is worth a look, in a fixed order: chain patterns, origins, money behaviour, and nearness to seeds."""
+    hops = F.col("seed_hops")
+    near = F.when(hops == 1, "1 hop from seed").when((hops == 2) & (F.col("seed_risk") > 0), "2 hops from seed")
+    chips = F.array(
+        F.when(F.col("peel_chain_txs") > 0, "peel chain"), F.when(F.col("layering_chain_txs") > 0, "rapid-hop layering"), F.when(F.col("dust_spray_txs") > 0, "dust spray"), F.when(F.col("coinjoin_txs") > 0, "CoinJoin"),
+        F.when(F.col("tor_share") >= 0.25, "Tor origin"), F.when(F.col("vpn_share") >= 0.25, "hosting/VPN origin"),
+        F.when((F.col("pass_through_ratio") >= 0.95) & (F.col("n_sent_txs") > 0) & (F.col("n_recv_txs") > 0), "pass-through"),
+        F.when((F.col("recv_amount_cv") >= 0) & (F.col("recv_amount_cv") < 0.15), "uniform inbound amounts"), F.when(F.col("max_n_in_sent") >= 10, "consolidation"),
+        F.when(F.col("is_seed"), "seed (known illicit)").otherwise(F.when(F.col("seed_risk") > 0, near)),
+    )
+    return F.filter(chips, lambda x: x.isNotNull())
+
+
+def structural(rows: DataFrame) -> Column:
+    """Noisy-or of the structural signs of an entity (counts of its transactions by pattern, longest chain, exposure of neighbours)."""
+    chain = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.col("max_peel_chain_len") / 8))
+    terms = [
+        F.when(F.col("peel_chain_txs") > 0, 0.55 * chain).otherwise(0.0), F.when(F.col("layering_chain_txs") > 0, 0.60).otherwise(0.0), F.when(F.col("dust_spray_txs") > 0, 0.45).otherwise(0.0),
+        F.when(F.col("coinjoin_txs") > 0, 0.12).otherwise(0.0), F.when(F.col("consolidation_txs") >= 2, 0.08).otherwise(0.0),
+    ]
+    if "nbr_heuristic_exposure" in rows.columns:
+        terms.append(0.25 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("nbr_heuristic_exposure"))))
+    return noisy_or(*terms)
+
+
+def default_scores(tx: DataFrame, scores: DataFrame) -> DataFrame:
+    """(tx, score, tier, is_synthetic) of every transaction of (tx, illicit): its own of ``scores``, else 80 for illicit ones and 10."""
+    out = tx.join(scores, "tx", "left")
+    plain = F.when(F.coalesce("illicit", F.lit(False)), 80.0).otherwise(10.0)
+    known = F.when(F.coalesce("illicit", F.lit(False)), "HIGH").otherwise("LOW")
+    return out.select("tx", F.coalesce("score", plain).alias("score"), F.coalesce("tier", known).alias("tier"), F.coalesce("is_synthetic", F.lit(False)).alias("is_synthetic"))
+
+
 def latest_verdicts(feedback: DataFrame) -> DataFrame:
     """(entity, verdict): the last one given; 'unsure' clears."""
     return feedback.groupBy("entity").agg(F.max_by("verdict", "id").alias("verdict")).where("verdict <> 'unsure'")
