@@ -70,14 +70,20 @@ class Book:
     def changes(self):
         return heuristics.change(self.tx, self.outputs, self.life, self.pool, self.c)
 
+    _member = None
+
     def written(self) -> Book:
         """This book with its relations written once, for plans that meet them several times."""
-        for name in ("tx", "inputs", "outputs", "pool"):
+        for name in ("tx", "inputs", "outputs"):
             setattr(self, name, stash(getattr(self, name), name))
+        self.pool = stash(heuristics.pools(self.tx, self.inputs, self.outputs, self.c), "pool")
+        self._member = stash(self.member, "member")
         return self
 
     @property
     def member(self):
+        if self._member is not None:
+            return self._member
         return self.inputs.select("addr").union(self.outputs.select("addr")).distinct().withColumn("entity", F.col("addr") % 500)
 
     @property
@@ -155,9 +161,10 @@ def n06(spark, d):
     return sums
 
 
-@query("n07_fingerprint", "SELECT CAST(o_orderdate AS DATE) AS bucket, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+@query("n07_fingerprint", """WITH h AS (SELECT CAST(o_orderdate AS DATE) AS bucket, CAST('0x' || substring(md5(o_orderkey || '|' || CAST(round(o_totalprice * 100) AS BIGINT)), 1, 12) AS BIGINT) AS x FROM orders)
+ SELECT bucket, count(*) AS n, sha256(count(*) || ':' || CAST(sum(x) AS HUGEINT)) AS digest FROM h GROUP BY 1""")
 def n07(spark, d):
-    return flatten.fingerprint(P.table(spark, d, "orders"), F.col("o_orderdate").cast("date"), "o_orderkey")
+    return flatten.fingerprint(P.table(spark, d, "orders"), F.col("o_orderdate").cast("date"), F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint"))
 
 
 RAW = """raw AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'junk' ELSE 'ok' END AS ts, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'x' END AS txid,
@@ -233,12 +240,12 @@ def h03(spark, d):
 
 @query("h04_change", W + LIFE + CHANGE + " SELECT tx_idx, change_addr, round(confidence, 4) AS confidence, round_payment FROM chg")
 def h04(spark, d):
-    return r(Book(spark, d).changes, 4, "confidence")
+    return r(Book(spark, d).written().changes, 4, "confidence")
 
 
 @query("h05_round_payment", W + LIFE + CHANGE + " SELECT round_payment, count(*) AS n FROM chg GROUP BY 1")
 def h05(spark, d):
-    return Book(spark, d).changes.groupBy("round_payment").agg(F.count(F.lit(1)).alias("n"))
+    return Book(spark, d).written().changes.groupBy("round_payment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h06_peel_links", W + LIFE + CHANGE + PEEL + " SELECT * FROM peel")
@@ -348,7 +355,7 @@ def e09(spark, d):
 
 @query("e10_flows", W + MEMBER + " SELECT src, dst, round(amount, 2) AS amount, ts, tx_idx FROM flow")
 def e10(spark, d):
-    return r(Book(spark, d).flow, 2, "amount")
+    return r(Book(spark, d).written().flow, 2, "amount")
 
 
 @query("e11_pool_flows", WP + FANS + """, i AS (SELECT DISTINCT tx_idx, addr % 50 AS src FROM inputs JOIN pool USING (tx_idx) WHERE is_pool), o AS (SELECT tx_idx, addr % 50 AS dst, amount FROM outputs JOIN pool USING (tx_idx) WHERE is_pool),
@@ -390,7 +397,7 @@ def e15(spark, d):
 @query("e16_degrees", W + MEMBER + """, p AS (SELECT src, dst, sum(amount) AS a, max(amount) AS m FROM flow GROUP BY 1, 2), o AS (SELECT src AS entity, count(*) AS out_degree, sum(a) AS flow_out, max(m) AS max_out FROM p GROUP BY 1), i AS (SELECT dst AS entity, count(*) AS in_degree FROM p GROUP BY 1)
  SELECT entity, coalesce(out_degree, 0) AS out_degree, round(coalesce(flow_out, 0), 2) AS flow_out, coalesce(max_out, 0) AS max_out, coalesce(in_degree, 0) AS in_degree FROM o FULL JOIN i USING (entity)""")
 def e16(spark, d):
-    return r(entities.degrees(Book(spark, d).flow), 2, "flow_out")
+    return r(entities.degrees(Book(spark, d).written().flow), 2, "flow_out")
 
 
 @query("e17_amounts", W + MEMBER + " SELECT entity, round(avg(CASE WHEN amount % 1 = 0 THEN 1.0 ELSE 0 END), 6) AS round_share, count(*) FILTER (WHERE amount * 100 <= 500000) AS dust_received FROM ext GROUP BY 1")
@@ -401,7 +408,7 @@ def e17(spark, d):
 @query("e19_burstiness", W + MEMBER + EVENTS + """, g AS (SELECT entity, ts, ts - lag(ts) OVER (PARTITION BY entity ORDER BY ts, tx_idx) AS gap FROM ev)
  SELECT entity, round((max(ts) - min(ts)) / 3600, 4) AS active_hours, round(CASE WHEN count(gap) >= 3 THEN (stddev_samp(gap) - avg(gap)) / (stddev_samp(gap) + avg(gap) + 1e-9) ELSE 0 END, 6) AS burstiness, coalesce(quantile_cont(gap, 0.5), 0) AS median_gap_s FROM g GROUP BY 1""")
 def e19(spark, d):
-    return r(r(entities.activity(Book(spark, d).events), 4, "active_hours"), 6, "burstiness")
+    return r(r(entities.activity(Book(spark, d).written().events), 4, "active_hours"), 6, "burstiness")
 
 
 @query("e20_peak_hour", "WITH " + P.TELEMETRY + ", h AS (SELECT entity, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM obs GROUP BY 1, 2) SELECT entity, max(n) AS peak_events, round(max(n) / sum(n), 6) AS peak_share FROM h GROUP BY 1")
@@ -454,6 +461,6 @@ def e27(spark, d):
 @query("e28_feature_matrix", W + MEMBER + """ SELECT entity, coalesce(n_sent, 0) AS n_sent, coalesce(n_recv, 0) AS n_recv, coalesce(n_addresses, 0) AS n_addresses FROM (SELECT entity, count(*) AS n_addresses FROM member GROUP BY 1)
  LEFT JOIN (SELECT entity, count(*) AS n_sent FROM sent GROUP BY 1) USING (entity) LEFT JOIN (SELECT entity, count(*) AS n_recv FROM recv GROUP BY 1) USING (entity)""")
 def e28(spark, d):
-    b = Book(spark, d)
+    b = Book(spark, d).written()
     out = entities.feature_matrix(b.member.select("entity").distinct(), e12(spark, d), entities.sent_stats(b.sent, b.tx), entities.recv_stats(b.recv))
     return out.select("entity", "n_sent", "n_recv", "n_addresses")

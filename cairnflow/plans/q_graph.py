@@ -33,7 +33,7 @@ def trade(spark, d, whole=False):
 
 @query("g01_adjacency", W + MEMBER + ADJ.format(flow="flow", a=50, b=100) + " SELECT src, dst, round(w, 6) AS w FROM adj")
 def g01(spark, d):
-    return r(graph.adjacency(Book(spark, d).flow), 6, "w")
+    return r(graph.adjacency(Book(spark, d).written().flow), 6, "w")
 
 
 @query("g02_walk", "WITH " + TRADE + ADJ.format(flow="trade", a=50, b=100) + " SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(p, 8) AS p FROM walk")
@@ -45,7 +45,7 @@ def g02(spark, d):
  one AS (SELECT src AS node, sum(p * x) AS x FROM walk JOIN v ON node = dst GROUP BY 1), two AS (SELECT src AS node, sum(p * x) AS x FROM walk JOIN one ON node = dst GROUP BY 1)
  SELECT one.node, round(one.x, 8) AS one_hop, round(two.x, 8) AS two_hop FROM one JOIN two ON one.node = two.node""")
 def g03(spark, d):
-    b = Book(spark, d)
+    b = Book(spark, d).written()
     walk = stash(graph.normalised(graph.adjacency(b.flow)), "walk")
     v = b.member.select(F.col("entity").alias("node")).distinct().withColumn("x", (F.col("node") % 7 == 0).cast("double"))
     one = graph.propagate(walk, v, ["x"])

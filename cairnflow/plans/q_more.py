@@ -182,7 +182,7 @@ def e07(spark, d):
 
 @query("e18_active_hours", W + MEMBER + " SELECT entity, round((max(ts) - min(ts)) / 3600, 4) AS active_hours, count(*) AS n FROM (SELECT entity, tx_idx FROM sent UNION SELECT entity, tx_idx FROM recv) JOIN tx USING (tx_idx) GROUP BY 1")
 def e18(spark, d):
-    return Book(spark, d).events.groupBy("entity").agg(F.round((F.max("ts") - F.min("ts")) / 3600, 4).alias("active_hours"), F.count(F.lit(1)).alias("n"))
+    return Book(spark, d).written().events.groupBy("entity").agg(F.round((F.max("ts") - F.min("ts")) / 3600, 4).alias("active_hours"), F.count(F.lit(1)).alias("n"))
 
 
 @query("g04_indicator", W + LIFE + " SELECT tx_idx, n_out = 1 AND first_spend_tx >= 0 AS hit FROM tx JOIN inputs USING (tx_idx) JOIN life USING (addr)")

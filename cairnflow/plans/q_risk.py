@@ -361,22 +361,22 @@ def m14(spark, d):
 
 @query("m01_forest")
 def m01(spark, d):
-    return ml.cross_fitted(ml.vectors(P.table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label") == 0), trees=20, folds=2)
+    return ml.cross_fitted(ml.vectors(P.table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label") == 0), trees=300, folds=2)
 
 
 @query("m03_isolation")
 def m03(spark, d):
-    return ml.isolation_scores(P.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")), trees=50)
+    return ml.isolation_scores(P.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")))
 
 
 @query("g05_embedding")
 def g05(spark, d):
     from cairnflow.plans.q_graph import trade
 
-    return ml.ppmi_embedding(trade(spark, d), dims=4)
+    return ml.ppmi_embedding(trade(spark, d))
 
 
 @query("g06_peers")
 def g06(spark, d):
     rows = P.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
-    return ml.peer_groups(rows, "entity", ["c_acctbal", "nation"], k=4)
+    return ml.peer_groups(rows, "entity", ["c_acctbal", "nation"], active=F.col("entity") % 7 != 0)[0]

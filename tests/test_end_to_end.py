@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from cairnflow.config import ForensicsConfig
 from cairnflow.plans import catalogue, forensics, service
 from cairnflow.sources import raw, store, synth
 from cairnflow.streaming import replay
@@ -45,7 +46,7 @@ def test_unsupported_file(spark):
 def test_analysis_and_service(spark, payments):
     d = forensics.load(raw._strings(payments.drop("kind")), unit=1.0)
     seeds = d.outputs.select("addr").limit(1)
-    result = forensics.analyse(d, seeds)
+    result = forensics.analyse(d, seeds, f=ForensicsConfig(transfer_tx=0, embedding_dims=2, peer_groups=3))
     leads = result.leads.cache()
     ranks = [r["rank"] for r in leads.where("rank > 0").orderBy("rank").collect()]
     assert ranks == list(range(1, len(ranks) + 1)) and leads.where("is_seed and rank > 0").count() == 0
@@ -89,7 +90,7 @@ def test_synthetic_export_refuses_real_rows(spark, payments, tmp_path):
 def test_stream_matches_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     stream = replay.source(spark, f"{sf}/*events.parquet", events.schema)
-    out = replay.drain(replay.hourly(stream), "hourly_test", str(tmp_path / "c"), "complete")
+    out = replay.drain(replay.hourly(stream), str(tmp_path / "out"), str(tmp_path / "c"), "complete")
     assert out.agg(F.sum("n")).first()[0] == events.count()
 
 
