@@ -1,10 +1,12 @@
 """Approximate nearest neighbours with learned partitions.
 
 On a sample of at most about SAMPLE vectors: the nearest-neighbour graph is cut into balanced partitions, and a small network learns
-to tell, from a vector alone, in which partitions its neighbours lie. Every vector is put into its most probable partition. A query
-goes to as many of its most probable partitions as the sample needs for TARGET recall (all of them, if need be), and everything
-found there is ranked again by the exact inner product. Partitions and queries are dealt in blocks of bounded size, so a partition that
-holds most of the rows is many tasks.
+to tell, from a vector alone, in which partitions its neighbours lie. Where these hold many more than LEAF_ROWS rows each, every one is
+cut again in the same way, on a sample of its own vectors, so that partitions grow with the table: up to about (SAMPLE /
+PER_PARTITION) squared. Every vector is put into its most probable partition. A query goes to as many of its most probable
+partitions as reach TARGET recall on held-out vectors, which neither the cuts nor the networks have seen and whose true neighbours
+among all rows are found by one exact scan (all partitions, if need be); everything found there is ranked again by the exact inner
+product. Partitions and queries are dealt in blocks of bounded size, so a partition that holds most of the rows is many tasks.
 
 Defined cases: vectors that are null, zero, of another length than most of the sample, or with null or non-finite components take
 no part; ties go to the smaller id; rows repeated with the same id count once, with the largest vector in array order; null ids take
@@ -13,6 +15,8 @@ no part; with fewer candidates than k all are returned; an empty table gives an
 
 from __future__ import annotations
 
+import logging
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import read, stash
+from cairnflow.llm.common import read, release, stash
 
 SAMPLE = 8_000
 GRAPH_K = 10
@@ -28,7 +32,9 @@ PER_PARTITION = 250
 HIDDEN = 128
 EPOCHS = 30
 TARGET = 0.95
-CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: Held-out vectors on which recall is measured, and rows of a partition above which it is cut again.
+HELD_OUT, LEAF_ROWS = 300, 8_192
+CANDIDATE_BLOCK, QUERY_BLOCK, CHUNK = 8_192, 16_384, 256
 
 
 def knn(x: np.ndarray, queries: np.ndarray, k: int, block: int = 512) -> np.ndarray:
@@ -115,35 +121,46 @@ class Router:
         return self
 
 
+def fit_router(sample: np.ndarray, most_parts: int) -> Router | None:
+    """Cut the neighbour graph of a sample into parts of PER_PARTITION vectors or more and learn to route; None for a single part."""
+    n = len(sample)
+    parts = min(most_parts, n // PER_PARTITION)
+    if parts < 2:
+        return None
+    graph = knn(sample, np.arange(n), min(GRAPH_K, n - 1))
+    part = balanced_partition(graph, parts)
+    share = np.zeros((n, parts))
+    np.add.at(share, (np.repeat(np.arange(n), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
+    share[np.arange(n), part] += 0.5
+    return Router(sample.shape[1], parts).fit(sample, share / share.sum(1, keepdims=True))
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
 class Index:
-    """Router, number of partitions and probes, fitted on a sample."""
-
-    def __init__(self, sample: np.ndarray, k: int, target: float = TARGET):
-        n = len(sample)
-        self.dims, self.parts = sample.shape[1], max(1, n // PER_PARTITION)
-        self.router, self.probes = None, self.parts
-        if self.parts > 1:
-            graph = knn(sample, np.arange(n), min(GRAPH_K, n - 1))
-            part = balanced_partition(graph, self.parts)
-            share = np.zeros((n, self.parts))
-            np.add.at(share, (np.repeat(np.arange(n), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-            share[np.arange(n), part] += 0.5
-            self.router = Router(self.dims, self.parts).fit(sample, share / share.sum(1, keepdims=True))
-            self.probes = self.needed(sample, k, target)
+    """Routers of one or two levels; ``probes`` partitions are searched, with ``recall`` on held-out queries."""
+
+    def __init__(self, coarse: Router | None):
+        self.coarse, self.inner, self.probes, self.recall = coarse, {}, 1, 1.0
+
+    @property
+    def parts(self) -> int:
+        n = 1 if self.coarse is None else len(self.coarse.w[3])
+        return sum(len(self.inner[p].w[3]) if p in self.inner else 1 for p in range(n))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each partition."""
+        if self.coarse is None and not self.inner:
+            return np.zeros((len(x), 1))
+        top = np.zeros((len(x), 1)) if self.coarse is None else log_softmax(self.coarse.logits(x))
+        return np.hstack([top[:, [p]] + (log_softmax(self.inner[p].logits(x)) if p in self.inner else 0.0) for p in range(top.shape[1])])
 
     def route(self, x: np.ndarray, m: int) -> np.ndarray:
         """The m most probable partitions of each vector, best first."""
-        if self.router is None:
-            return np.zeros((len(x), 1), dtype=np.int64)
-        return np.argsort(-self.router.logits(x), axis=1, kind="stable")[:, :m]
-
-    def needed(self, sample: np.ndarray, k: int, target: float) -> int:
-        """The fewest probes with ``target`` recall over sample queries; each neighbour counts at the rank of its partition."""
-        q = np.arange(0, len(sample), max(1, len(sample) // 1000))
-        near, home = knn(sample, q, min(k, len(sample) - 1)), self.route(sample, 1)[:, 0]
-        rank = np.argsort(self.route(sample[q], self.parts), axis=1)
-        found = np.bincount(np.take_along_axis(rank, home[near], axis=1).ravel(), minlength=self.parts).cumsum() / near.size
-        return int(np.searchsorted(found, target)) + 1
+        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :m]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -153,41 +170,132 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
-def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids; ``ids`` ascend."""
-    if len(scores) > k:
-        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        at = np.arange(len(scores))
-    return at[np.argsort(-scores[at], kind="stable")][:k]
+def deep(items: F.Column, k: int) -> F.Column:
+    return F.slice(F.array_sort(items), 1, k)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds, by inner product."""
-    rows = stash(usable(vectors, id_col, vec_col), "vectors")
-    n = rows.count()
-    take = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n))
-    picked = [r[0] for r in take.orderBy("vec_id").select("v").collect()]  # about SAMPLE rows
+def nearest(found: DataFrame, group: F.Column, k: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, best): the k nearest of rows (query_id, vec_id, score), met by ``group`` first, so that no list outgrows what one group
+    holds or k for each group."""
+    each = F.struct((-F.col("score")).alias("less"), "vec_id", "score", *also)
+    some = found.groupBy("query_id", group.alias("group")).agg(deep(F.collect_list(each), k).alias("best"))
+    return some.groupBy("query_id").agg(deep(F.flatten(F.collect_list("best")), k).alias("best"))
+
+
+def exact(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the query, places of its k nearest in ``x``, scores). ``ids`` ascend. Blocks of products choose; scores of what they choose,
+    and of what is as near as rounding can tell, are summed once more in one fixed order, so equal vectors tie exactly. Of
+    equal vectors only the k + 1 of the smallest ids can be among the k nearest, so the others are left out first."""
+    if len(x) > k + 1:
+        flat = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+        _, same = np.unique(flat, return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        first = np.searchsorted(same[order], same[order], side="left")
+        use = np.sort(order[np.arange(len(order)) - first <= k])
+        x, ids = x[use], ids[use]
+    else:
+        use = np.arange(len(x))
+    longest = float(np.sqrt((x * x).sum(1).max()))
+    for at in range(0, len(queries), CHUNK):
+        q = queries[at : at + CHUNK]
+        for n, s in enumerate(q @ x.T):
+            place = np.searchsorted(ids, own[at + n])
+            if place < len(ids) and ids[place] == own[at + n]:
+                s[place] = -np.inf
+            if len(s) > k:
+                kth = np.partition(s, len(s) - k)[len(s) - k]
+                near = np.flatnonzero(s >= kth - 1e-13 * longest * float(np.sqrt(q[n] @ q[n])))
+            else:
+                near = np.arange(len(s))
+            near = near[s[near] > -np.inf]
+            score = (x[near] * q[n]).sum(axis=1)
+            best = np.lexsort((ids[near], -score))[:k]
+            yield at + n, use[near[best]], score[best]
+
+
+def fit(rows: DataFrame, k: int, target: float = TARGET) -> tuple[Index, DataFrame]:
+    """The index, and (vec_id, v, part) of all ``rows`` (vec_id, v). Vectors are sampled by a hash of their ids."""
+    n, place = rows.count(), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
+    cut = int((1 << 20) * min(0.9, SAMPLE / max(n, 1)))
+    picked = [r[0] for r in rows.where(place < cut).orderBy("vec_id").select("v").collect()]  # about SAMPLE rows at most
     lengths = np.array([len(x) for x in picked] or [1])
     dims = int(np.bincount(lengths).argmax())
+    if not picked:  # a handful of rows
+        dims = int((rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first() or [1])[0])
     sample = np.array([x for x in picked if len(x) == dims] or np.zeros((0, dims))).reshape(-1, dims)
-    index = Index(sample, k, target)
     rows = rows.where(F.size("v") == dims)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    index = Index(fit_router(sample, SAMPLE // PER_PARTITION))
+
+    def place_rows(rows: DataFrame) -> DataFrame:
+        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    yield f.assign(part=index.scores(np.stack(f["v"].to_numpy())).argmax(1))
+
+        return stash(rows.mapInPandas(assign, "vec_id bigint, v array<double>, part bigint"), "placed")
+
+    placed = place_rows(rows)
+    if n > index.parts * LEAF_ROWS and index.parts > 1:
+        held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # SAMPLE / PER_PARTITION rows at most
+        rates = F.array(*[F.lit(int((1 << 20) * min(0.9, SAMPLE / held.get(p, 1))) if held.get(p, 0) > LEAF_ROWS else 0) for p in range(index.parts)])
+
+        def cut_again(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("vec_id")
+            router = fit_router(np.stack(f["v"].to_numpy()), -(-held[key[0]] // LEAF_ROWS))
+            return pd.DataFrame({"part": [key[0]], "router": [pickle.dumps(router)]})
+
+        again = placed.where(place < F.element_at(rates, (F.col("part") + 1).cast("int"))).groupBy("part").applyInPandas(cut_again, "part bigint, router binary")
+        found = {r["part"]: pickle.loads(r["router"]) for r in again.collect()}  # a small network for each coarse partition
+        index.inner = {p: r for p, r in found.items() if r is not None}
+        if index.inner:
+            release(placed)
+            placed = place_rows(rows)
+    if index.parts > 1:
+        most = int((1 << 20) * min(0.1, HELD_OUT / n))
+        unseen = placed.where(place >= (1 << 20) - most).orderBy("vec_id").select("vec_id", "v").collect()  # about HELD_OUT rows
+        if unseen:
+            index.probes, index.recall = needed(index, placed, unseen, k, target)
+        else:
+            index.probes = index.parts
+        logging.getLogger(__name__).info("%d partitions, %d probes, recall %.3f on %d held-out vectors", index.parts, index.probes, index.recall, len(unseen))
+    return index, placed
+
+
+def needed(index: Index, placed: DataFrame, unseen: list, k: int, target: float) -> tuple[int, float]:
+    """The fewest probes with ``target`` recall over the unseen queries, and that recall: each true neighbour counts at the rank of
+    its partition among those of the query."""
+    own, q = np.array([r[0] for r in unseen]), np.array([r[1] for r in unseen])
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield f.assign(part=index.route(np.stack(f["v"].to_numpy()), 1)[:, 0])
+                f = f.sort_values("vec_id")
+                ids, part = f["vec_id"].to_numpy(), f["part"].to_numpy()
+                for i, at, score in exact(q, own, np.stack(f["v"].to_numpy()), ids, k):
+                    yield pd.DataFrame({"query_id": own[i], "vec_id": ids[at], "score": score, "part": part[at]})
+
+    found = placed.mapInPandas(scan, "query_id bigint, vec_id bigint, score double, part bigint")
+    best = nearest(found, F.pmod(F.spark_partition_id(), F.lit(64)), k, ("part",)).select("query_id", F.transform("best", lambda b: b["part"]).alias("parts")).collect()
+    ranks = np.argsort(np.argsort(-index.scores(q), axis=1, kind="stable"), axis=1)
+    at = np.searchsorted(own, [r["query_id"] for r in best])
+    hit = np.concatenate([ranks[i][np.array(r["parts"], dtype=np.int64)] for i, r in zip(at, best, strict=True)])
+    share = np.bincount(hit, minlength=index.parts).cumsum() / len(hit)
+    probes = min(int(np.searchsorted(share, target)) + 1, index.parts)
+    return probes, float(share[probes - 1])
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds, by inner product."""
+    index, placed = fit(stash(usable(vectors, id_col, vec_col), "vectors"), k, target)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 yield f.assign(parts=list(index.route(np.stack(f["v"].to_numpy()), index.probes)))
 
-    placed = stash(rows.mapInPandas(assign, "vec_id bigint, v array<double>, part bigint"), "placed")
-    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(probe, "vec_id bigint, v array<double>, parts array<bigint>")
+    asked = placed.where(is_query(F.col("vec_id"))).select("vec_id", "v").mapInPandas(probe, "vec_id bigint, v array<double>, parts array<bigint>")
     asked = stash(asked.select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part")), "asked")
-    # Sizes of the partitions: at most SAMPLE / PER_PARTITION rows.
+    # Sizes of the partitions, of which there are (SAMPLE / PER_PARTITION) squared at most.
     held = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     sought = asked.groupBy("part").agg(F.count(F.lit(1)).alias("q"))
     sizes = F.broadcast(held.join(sought, "part").select("part", F.ceil(F.col("n") / CANDIDATE_BLOCK).alias("blocks"), F.ceil(F.col("q") / QUERY_BLOCK).alias("asks")))
@@ -202,24 +310,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         out, (part, at_block, _) = [], key
         if len(q) and len(c):
             c = c.sort_values("vec_id")
-            ids, x = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy())
-            for i, s in zip(q["query_id"], np.stack(q["v"].to_numpy()) @ x.T, strict=True):
-                own = np.searchsorted(ids, i)
-                if own < len(ids) and ids[own] == i:
-                    s[own] = -np.inf
-                at = top(s, ids, k)
-                at = at[s[at] > -np.inf]
-                out.append(pd.DataFrame({"query_id": i, "part": part, "block": at_block, "vec_id": ids[at], "score": s[at]}))
+            ids, own = c["vec_id"].to_numpy(), q["query_id"].to_numpy()
+            for i, at, score in exact(np.stack(q["v"].to_numpy()), own, np.stack(c["v"].to_numpy()), ids, k):
+                out.append(pd.DataFrame({"query_id": own[i], "part": part, "block": at_block, "vec_id": ids[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "part": [], "block": [], "vec_id": [], "score": []})
 
     keys = ["part", "block", "ask"]
     found = want.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInPandas(block, "query_id bigint, part bigint, block bigint, vec_id bigint, score double")
-    each = F.struct((-F.col("score")).alias("less"), "vec_id", "score")
-    best = lambda items: F.slice(F.array_sort(items), 1, k)
-    # Blocks are met in groups of 64 first, so no list outgrows 64 * k or a 64th of a query's blocks.
-    some = found.groupBy("query_id", "part", F.floor(F.col("block") / 64).alias("group")).agg(best(F.collect_list(each)).alias("best"))
-    found = some.groupBy("query_id").agg(best(F.flatten(F.collect_list("best"))).alias("best"))
-    ranked = found.select("query_id", F.posexplode("best").alias("p", "b"))
+    best = nearest(found, F.struct("part", F.floor(F.col("block") / 64).alias("some")), k)
+    ranked = best.select("query_id", F.posexplode("best").alias("p", "b"))
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 
