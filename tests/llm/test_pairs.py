@@ -334,6 +334,60 @@ def brute_removed(rows):
     return {i: sorted(cut[i][p] for p in ps) for i, ps in gone.items()}
 
 
+def plain_sentences(text):
+    """Sentences by walking over the letters: they end with marks before white space, at a line's end, or with the text."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if text[i].isspace():
+            i += 1
+            continue
+        j = i + 1
+        while j < n and text[j] != "\n":
+            if text[j] in ".!?" and (j + 1 == n or text[j + 1].isspace()):
+                j += 1
+                break
+            j += 1
+        out.append((i, j))
+        i = j
+    return out
+
+
+def plain_runs(text):
+    """(first, end, sentences) of every run, from all pairs of ends."""
+    at = plain_sentences(text)
+    words = [len(text[a:b].split()) for a, b in at]
+    size = lambda i, j: sum(words[i:j])
+    enough = lambda i, j: size(i, j) >= substring_dedup.RUN_WORDS
+    n, picked = len(at), set()
+    for i in range(n):
+        if words[i] >= substring_dedup.LONG_WORDS:
+            picked.add((i, i + 1))
+        for j in range(i + 2, n + 1):
+            if enough(i, j) and (not any(enough(i, k) for k in range(i + 2, j)) or not any(enough(k, j) for k in range(i + 1, j - 1))):
+                if j == i + 1 or any(w < substring_dedup.LONG_WORDS for w in words[i:j]):
+                    picked.add((i, j))
+    return at, [(i, j, tuple(text[a:b] for a, b in at[i:j])) for i, j in picked]
+
+
+def test_repeats_equal_a_splitter_of_its_own(spark):
+    rng, rows = random.Random(16), []
+    pool = [" ".join(words(rng, rng.randint(2, 24), 3000)).capitalize() + rng.choice([".", "!", "?!", "..."]) for _ in range(30)]
+    for i in range(40):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else " ".join(words(rng, rng.randint(1, 18), 3000)) + "." for _ in range(rng.randint(1, 10))]
+        rows.append((i, "".join(p + rng.choice([" ", "  ", "\n", " \n"]) for p in parts), "s"))
+    first, gone = {}, defaultdict(set)
+    for i, t, _ in rows:
+        at, found = plain_runs(t)
+        for a, b, key in sorted(found):
+            if key in first and first[key] != (i, a):
+                gone[i].update(at[a:b])
+            first.setdefault(key, (i, a))
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_spans(frame(spark, rows)).collect():
+        got[r.doc_id].update((a, b) for a, b in plain_sentences(rows[r.doc_id][1]) if r.start <= a and b <= r.end)
+    assert got == gone and len(gone) > 10
+
+
 def test_repeated_sentences_equal_brute_force(spark):
     rng, rows = random.Random(6), []
     passage = " ".join(" ".join(words(rng, 12)).capitalize() + "." for _ in range(6))
@@ -415,6 +469,48 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.search(df.limit(0), lambda c: c % 20 == 0).count() == 0
 
 
+def recall_of(found, x, queries, k=20):
+    hits = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(found[q]) & set(np.lexsort((np.arange(len(x)), -s))[:k].tolist()))
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize(("sample", "leaf", "clusters"), [(1500, 8192, 0), (1500, 200, 40)])
+def test_recall_beyond_the_sample_and_in_two_levels(spark, monkeypatch, sample, leaf, clusters):
+    monkeypatch.setattr(neighbours, "SAMPLE", sample)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(neighbours, "PER_PARTITION", 150)
+    rng, n = np.random.default_rng(9), 6000
+    x = rng.normal(size=(n, 16)) if not clusters else rng.normal(size=(clusters, 16))[rng.integers(0, clusters, n)] * 2 + rng.normal(size=(n, 16)) * 0.7
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in range(n)], "vec_id bigint, embedding array<double>")
+    index, placed = neighbours.fit(neighbours.usable(df, "vec_id", "embedding"), 20)
+    assert placed.count() == n and (index.parts > 10 if leaf == 200 else 2 < index.parts <= 10) and index.recall >= 0.95
+    if leaf == 200:
+        assert index.inner and index.probes < index.parts
+    got = defaultdict(list)
+    for r in neighbours.search(df, lambda c: c % 20 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, n, 20)) and recall_of(got, x, range(0, n, 20)) >= 0.9
+
+
+def test_equal_vectors_tie_to_smaller_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 24))
+    x[100:300] = x[7]
+    rows = [(int(i), [float(v) for v in x[i]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(neighbours.search(df, lambda c: c % 20 == 0).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, found in got.items():
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert [v for v, _ in found] == np.lexsort((np.arange(400), -s))[:20].tolist()
+
+
 def test_balanced_partition_is_balanced():
     x = np.random.default_rng(1).normal(size=(1000, 8))
     part = neighbours.balanced_partition(neighbours.knn(x, np.arange(1000), 8), 10)

@@ -148,6 +148,77 @@ def test_classifier_edges(spark, module):
     assert module.classify(edges(spark), some).count() == len(EDGES)
 
 
+def test_quality_fit_equals_dense_ridge_and_isotonic_means(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    stats = quality.stash(quality.document_statistics(docs.repartition(5)), "stats")
+    kernel, w, steps = quality.fit(stats, labels)
+    import pyspark.sql.functions as F
+
+    y = labels.where(~quality.held_out(F.col("doc_id"))).where("quality is not null").select("doc_id", "quality")
+    rows = stats.join(y, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", "stats"), F.lit(quality.FOLDS))).toPandas()
+    x, target, fold = np.stack(rows.stats.to_numpy()), rows.quality.to_numpy(float), rows.fold.to_numpy()
+    assert np.allclose(kernel.mean, x.mean(0)) and np.allclose(kernel.scale, x.std(0) + 1e-6, rtol=1e-6, atol=1e-6)
+    z = np.array([np.concatenate([4 * np.sqrt(2 / quality.FEATURES) * np.cos([sum(v * a for v, a in zip(c, kernel.w[:, j], strict=True)) + kernel.b[j] for j in range(quality.FEATURES)]), 0.3 * c, [1.0]]) for c in np.clip((x - kernel.mean) / kernel.scale, -5, 5)])
+
+    def solve(at):
+        a = np.vstack([z[at], np.sqrt(quality.RIDGE) * np.eye(z.shape[1])])
+        return np.linalg.lstsq(a, np.concatenate([target[at], np.zeros(z.shape[1])]), rcond=None)[0]
+
+    assert np.allclose(w, solve(np.arange(len(z))), atol=1e-6)
+    raw = np.array([z[i] @ solve(np.flatnonzero(fold != fold[i])) for i in range(len(z))])
+    at = quality.bin_of(raw)
+    for b in set(at):
+        least = [min(target[(at >= lo) & (at <= hi)].mean() for hi in set(at) if hi >= b) for lo in set(at) if lo <= b]
+        assert steps[b] == pytest.approx(max(least), abs=1e-9)
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    kept = {r.doc_id for r in quality.good_rows(docs, labels).collect()}
+    assert kept == {i for i, s in got.items() if s >= quality.THRESHOLD}
+
+
+def plain_ftrl(rows, y, order):
+    """One weight at a time, in dictionaries."""
+    z, n = {}, {}
+
+    def weight(i, l1):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else (l1 * (1 if a > 0 else -1) - a) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for r in order:
+        w = {i: weight(i, 0.0 if i == 0 else toxicity.L1) for i in rows[r]}
+        g = (1 / (1 + np.exp(-np.clip(sum(w.values()), -35, 35))) - y[r]) * (toxicity.POSITIVE if y[r] else 1.0)
+        for i in rows[r]:
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: v for i in z if (v := weight(i, 0.0 if i == 0 else toxicity.L1))}
+
+
+def test_toxicity_weights_equal_a_plain_loop(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    import pyspark.sql.functions as F
+    import xxhash
+
+    y = labels.where(~toxicity.held_out(F.col("doc_id"))).where("toxic is not null").select("doc_id", "toxic")
+    rows = docs.select("doc_id", "text").join(y, "doc_id").toPandas()
+    rows["shard"] = [xxhash.xxh64_intdigest(str(i)) % toxicity.SHARDS for i in rows.doc_id]
+    want, seen = {}, 0
+    for _, part in rows.groupby("shard"):
+        part = part.assign(key=part.doc_id.astype(str)).sort_values("key")
+        at = [toxicity.coordinates(t or "").tolist() for t in part.text]
+        draw = np.random.default_rng(3)
+        order = np.concatenate([draw.permutation(len(at)) for _ in range(toxicity.EPOCHS)])
+        w = plain_ftrl(at, part.toxic.to_numpy(float), order)
+        seen += len(part) if 0 in w else 0
+        for i, v in w.items():
+            want[i] = want.get(i, 0.0) + v * len(part)
+    found, weights = toxicity.fit(docs, labels)
+    got = dict(zip(found.tolist(), weights.tolist(), strict=True))
+    assert set(got) == set(want) and len(got) > 50
+    assert all(got[i] == pytest.approx(v / seen, rel=1e-6, abs=1e-9) for i, v in want.items())
+
+
 def test_isotonic_pools_violators():
     p, n = np.array([0.0, 3, 1, 0, 4]), np.array([4.0, 4, 4, 0, 4])
     v = quality.isotonic(p, n)
