@@ -326,7 +326,7 @@ def _classes(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, thres
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         needed = stash(wanted.distinct().join(nodes.select("node", "key"), "node"), "needed")
-        return stash(texts.select("key", "text").join(needed, "key").select("node", "text"), "texts")
+        return stash(texts.select("key", "text").join(needed.hint("merge"), "key").select("node", "text"), "texts")  # one plan for all sizes
 
     classes = connected_components(links(members, texts_of, idf, threshold), "a", "b")
     labelled = nodes.join(classes, "node", "left").select("digest", "salts", F.coalesce("component", "node").alias("class"))

@@ -160,4 +160,4 @@ def mixed_rows(
     rows = rows_of(docs)
     taken = stash(_mixed(rows, docs, id_col, text_col, source_col, weights, share, cap).where(F.col("copies") > 0).select("row", "copies"), "taken")
     times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return rows.join(taken, "row").select("own", times.alias("copy")).select("own.*")
+    return rows.join(taken.hint("merge"), "row").select("own", times.alias("copy")).select("own.*")

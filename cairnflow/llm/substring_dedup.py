@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lambda s, x: F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    joined = rows.join(stash(spans, "cuts"), "row", "left")
+    joined = rows.join(stash(spans, "cuts").hint("merge"), "row", "left")
     return joined.select(F.col("own").withField(f"`{text_col}`", F.when(cut.isNotNull(), kept).otherwise(field(text_col))).alias("own")).select("own.*")
 
 
