@@ -24,6 +24,11 @@ def tx_ips(obs: DataFrame) -> DataFrame:
     return per.join(first, "tx").select("tx", "ip", F.when(F.col("ip") == F.col("origin"), "ORIGIN").otherwise("RELAY").alias("role"), "n", "first_ts")
 
 
+def wallet_links(inputs: DataFrame, found: DataFrame) -> DataFrame:
+    """(wallet, tx, ip, role): every address seen with a transaction that a wallet paid into, from (tx, wallet) and (tx, ip, role)."""
+    return inputs.select("tx", "wallet").distinct().join(found.select("tx", "ip", "role"), "tx").select("wallet", "tx", "ip", "role")
+
+
 def wallet_ips(inputs: DataFrame, found: DataFrame) -> DataFrame:
     """(wallet, ip, txs, roles, n_tx) from (tx, wallet) and (tx, ip, role); lists are sorted and distinct."""
     rows = inputs.select("tx", "wallet").distinct().join(found.select("tx", "ip", "role"), "tx")

@@ -157,6 +157,14 @@ def rapid_changes(rows: DataFrame, what: str, within_s: int, order: list[str]) -
     return rows.withColumn("hop", hop).groupBy("entity").agg(F.count_if("hop").alias("rapid"))
 
 
+def runs(rows: DataFrame, what: str, order: list[str]) -> DataFrame:
+    """(entity, run, what, first_ts, last_ts, n): stretches of consecutive rows of an entity that agree in ``what``, numbered from 1."""
+    w = Window.partitionBy("entity").orderBy(*order)
+    new = F.coalesce(~F.col(what).eqNullSafe(F.lag(what).over(w)), F.lit(True)) | (F.row_number().over(w) == 1)
+    numbered = rows.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("entity", "run").agg(F.first(what).alias(what), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+
+
 def obfuscation(tor: F.Column, vpn: F.Column, hops: F.Column) -> F.Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * tor + 0.4 * vpn + 0.15 * F.least(hops, F.lit(3)) / 3))
 

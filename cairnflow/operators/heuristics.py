@@ -74,13 +74,19 @@ def successors(links: DataFrame, tx: DataFrame, life: DataFrame, gap_s: int | No
     return nxt.join(at, "tx_idx").join(to, "next").where(F.col("t1") - F.col("t0") <= gap_s).select("tx_idx", "next")
 
 
+def valid_peels(tx: DataFrame, pool: DataFrame, found: DataFrame, nxt: DataFrame, c: HeuristicConfig) -> DataFrame:
+    """(tx_idx) that may stand in a peel chain: change was found, or a chain reaches it and it has two outputs; few inputs; not pooled.
+    ``found`` has the transactions with change, ``nxt`` their successors (tx_idx, next)."""
+    reached = nxt.select(F.col("next").alias("tx_idx")).distinct().withColumn("reached", F.lit(True))
+    rows = tx.join(pool.select("tx_idx", "is_pool"), "tx_idx").join(found.select("tx_idx", F.lit(True).alias("has")), "tx_idx", "left").join(reached, "tx_idx", "left")
+    return rows.where((F.col("has").isNotNull() | (F.col("reached").isNotNull() & (F.col("n_out") == 2))) & (F.col("n_in") <= c.peel_max_inputs) & ~F.col("is_pool")).select("tx_idx")
+
+
 def peel_links(tx: DataFrame, life: DataFrame, pool: DataFrame, changes: DataFrame, c: HeuristicConfig) -> DataFrame:
     """(tx_idx, next) between valid peel transactions."""
     found = changes.where(F.col("change_addr").isNotNull()).select("tx_idx", F.col("change_addr").alias("addr"))
     nxt = stash(successors(found, tx, life, c.peel_gap_s), "successors")
-    reached = nxt.select(F.col("next").alias("tx_idx")).distinct().withColumn("reached", F.lit(True))
-    rows = tx.join(pool.select("tx_idx", "is_pool"), "tx_idx").join(found.select("tx_idx", F.lit(True).alias("has")), "tx_idx", "left").join(reached, "tx_idx", "left")
-    valid = rows.where((F.col("has").isNotNull() | (F.col("reached").isNotNull() & (F.col("n_out") == 2))) & (F.col("n_in") <= c.peel_max_inputs) & ~F.col("is_pool")).select("tx_idx")
+    valid = valid_peels(tx, pool, found, nxt, c)
     return nxt.join(valid, "tx_idx", "left_semi").join(valid.select(F.col("tx_idx").alias("next")), "next", "left_semi").select("tx_idx", "next")
 
 

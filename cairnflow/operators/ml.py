@@ -154,9 +154,11 @@ class IsolationForest:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
     def _grow(self, x: np.ndarray, draw, depth: int):
+        if depth == 0 or len(x) < 2:  # a split between neighbouring floats may leave a side empty
+            return self.average(len(x))
         low, high = x.min(0), x.max(0)
         open_ = np.flatnonzero(high > low)
-        if depth == 0 or len(x) < 2 or not len(open_):
+        if not len(open_):
             return self.average(len(x))
         f = int(draw.choice(open_))
         at = float(draw.uniform(low[f], high[f]))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnflow import durable
-from cairnflow.config import ForensicsConfig
+from cairnflow.config import ForensicsConfig, GraphConfig
 from cairnflow.functions import scalars as S
 from cairnflow.operators import detect, graph, ingest, metrics, ml, ordered, risk, skew
 from cairnflow.plans import benchmark, forensics, report, service
@@ -47,7 +47,7 @@ def test_analysis_with_labels_network_and_feedback(spark, economy, tmp_path):
     truth = forensics.entity_truth(p, synth.truth(economy))
     y = truth.select("entity", F.col("is_illicit").cast("double").alias("label"), "campaign")
     seeds = y.where("label = 1").orderBy("entity").limit(2).select("entity")
-    res = forensics.score(p, seeds, y, f=FAST)
+    res = forensics.score(p, seeds, y, GraphConfig(walk_steps=8), f=FAST)
     leads = res.leads
     ranks = sorted(r["rank"] for r in leads.where("rank > 0").select("rank").collect())
     assert ranks == list(range(1, len(ranks) + 1)) and leads.where("is_seed").count() == 2 and leads.where("is_seed and rank > 0").count() == 0
