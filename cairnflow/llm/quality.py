@@ -169,10 +169,15 @@ def bin_of(raw: np.ndarray) -> np.ndarray:
     return np.clip((raw - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int64)
 
 
+def fold_of(id_col: str) -> F.Column:
+    """Fold of a labelled row, by its id, so that the query and the pipeline's stage learn the same."""
+    return F.pmod(F.xxhash64(id_col), F.lit(FOLDS)).cast("int")
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> tuple[Kernel, np.ndarray, np.ndarray] | None:
     """Kernel, weights and calibration table from the labelled rows that aren't held out; None without such rows."""
     y = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
-    return fit_on(stash(stats.join(y, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id", "stats"), F.lit(FOLDS)).cast("int").alias("fold")), "train"))
+    return fit_on(stash(stats.join(y, "doc_id").select("stats", "y", fold_of("doc_id").alias("fold")), "train"))
 
 
 def fit_on(train: DataFrame) -> tuple[Kernel, np.ndarray, np.ndarray] | None:
@@ -230,7 +235,7 @@ treated alike; without a labelled row all stay; extra columns are kept, whatever
     picked = labelled_sample(docs, labels, "quality", max_rows)
     if picked is None:
         return docs
-    marked = picked.select(F.struct("doc_id", "y", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int").alias("fold")).alias("doc_id"), "text")
+    marked = picked.select(F.struct("doc_id", "y", fold_of("doc_id").alias("fold")).alias("doc_id"), "text")
     train = document_statistics(marked.withColumn("doc_id", F.to_json("doc_id")))
     train = train.select("stats", F.from_json("doc_id", "y double, fold int").alias("x")).select("stats", "x.y", "x.fold")
     model = fit_on(stash(train, "train"))

@@ -156,7 +156,7 @@ def test_quality_fit_equals_dense_ridge_and_isotonic_means(spark):
     import pyspark.sql.functions as F
 
     y = labels.where(~quality.held_out(F.col("doc_id"))).where("quality is not null").select("doc_id", "quality")
-    rows = stats.join(y, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", "stats"), F.lit(quality.FOLDS))).toPandas()
+    rows = stats.join(y, "doc_id").withColumn("fold", quality.fold_of("doc_id")).toPandas()
     x, target, fold = np.stack(rows.stats.to_numpy()), rows.quality.to_numpy(float), rows.fold.to_numpy()
     assert np.allclose(kernel.mean, x.mean(0)) and np.allclose(kernel.scale, x.std(0) + 1e-6, rtol=1e-6, atol=1e-6)
     z = np.array([np.concatenate([4 * np.sqrt(2 / quality.FEATURES) * np.cos([sum(v * a for v, a in zip(c, kernel.w[:, j], strict=True)) + kernel.b[j] for j in range(quality.FEATURES)]), 0.3 * c, [1.0]]) for c in np.clip((x - kernel.mean) / kernel.scale, -5, 5)])
